@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,22 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application.
+
+    Where they have it on their path already this changes nothing but where it is read from.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        home = os.path.dirname(os.path.abspath(__file__))
+        to = os.path.join(tempfile.mkdtemp(prefix="regelspur-"), "regelspur")
+        sc.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(home), os.path.basename(home)))
+        _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
