@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regelspur.llm import consistent, neardup, pieces, terms
+from regelspur.llm import consistent, leaks, mixing, neardup, pieces, sentences, terms
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,6 +53,42 @@ def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
     return terms.term_frequencies(_table(spark, sf, "chunks"), "position", "text")
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "eval_items"), "item_id", "text", n=12)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select(F.col("document").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.without_leaks(_table(spark, sf, "documents"), "doc_id", _leaks(spark, sf)).select("doc_id", "source", "lang")
+
+
+def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
+    return mixing.Mix(_table(spark, sf, "documents"), "doc_id", "text", "source", _table(spark, sf, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).report().where("short").select("source")
+
+
+def p7_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).drawn()
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).report()
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_starts(_table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p8_units(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(_table(spark, sf, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
