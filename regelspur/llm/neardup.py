@@ -2,9 +2,9 @@
 
 Method: a fingerprint of ``BLOCKS * SLOTS`` min-hash slots over the distinct runs of ``n`` words
 is split into ``BLOCKS`` blocks. Two texts that differ in fewer than ``BLOCKS`` slots share a
-block (pigeonhole); more distant ones do so with probability 1 - (1 - s^SLOTS)^BLOCKS, 0.997 at a
-similarity of 0.6 and 0.9995 at 0.65. Texts are joined on equal blocks, the Hamming distance of
-one bit a slot is verified inside that join, and the pairs left are checked exactly.
+block (pigeonhole); more distant ones do so with probability 1 - (1 - s^SLOTS)^BLOCKS, 0.994 at a
+similarity of 0.6 and 0.9988 at 0.65. Texts are joined on equal blocks, the Hamming distance of
+two bits a slot is verified inside that join, and the pairs left are checked exactly.
 
 Texts of equal words are one class, represented by its smallest id, so a group of copies, however
 large, costs one representative. Classes are joined with classes; members are attached after.
@@ -28,9 +28,10 @@ from regelspur.session import cut, fits
 from regelspur.llm.consistent import ScriptModel, consistent_form, fit_scripts
 from regelspur.llm.words import MIX, Hashes, mix, runs, shingles, words_of
 
-BLOCKS, SLOTS = 24, 3
-#: Largest Hamming distance of the 64-bit fold. At a similarity of 0.6 it has mean 12.8 and deviation 3.2.
-FAR = 27
+BLOCKS, SLOTS = 21, 3
+#: Largest Hamming distance: of the 63 slots so many may differ in their two bits (three of four that
+#: differ do). At a similarity of 0.6 it has mean 18.9 and deviation 3.6; at 0.2 mean 37.8.
+FAR = 33
 #: Ids up to which the ids of candidates are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -44,7 +45,7 @@ def _hashed(texts: list[str], model: ScriptModel, hashes: Hashes) -> tuple[np.nd
 
 
 def fingerprints(df: DataFrame, key: str, text: str, model: ScriptModel, n: int) -> DataFrame:
-    """(id, words: hash of the word sequence, blocks: array of block hashes, bits: one bit a slot)."""
+    """(id, words: hash of the word sequence, blocks: array of block hashes, low, high: two bits a slot)."""
 
     def fingerprint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -67,19 +68,22 @@ def fingerprints(df: DataFrame, key: str, text: str, model: ScriptModel, n: int)
                 for k in range(SLOTS):
                     blocks = mix(blocks * MIX + slots[k::SLOTS] + np.uint64(k))
                 blocks = mix(blocks + np.arange(BLOCKS, dtype=np.uint64)[:, None])
-                bits = np.zeros(slots.shape[1], np.uint64)
-                for k in range(64):
-                    bits |= (mix(slots[k]) & np.uint64(1)) << np.uint64(k)
+                low, high = np.zeros((2, slots.shape[1]), np.uint64)
+                for k in range(len(slots)):
+                    two = mix(slots[k])
+                    low |= (two & np.uint64(1)) << np.uint64(k)
+                    high |= (two >> np.uint64(1) & np.uint64(1)) << np.uint64(k)
                 yield pd.DataFrame({
                     "id": part["id"].to_numpy()[keep],
                     "words": [xxhash.xxh3_128_digest(hashed[e - c : e].tobytes()) for e, c in zip(ends[keep], lengths[keep])],
                     "blocks": list(blocks.T.astype(np.int64)),
-                    "bits": bits.astype(np.int64),
+                    "low": low.astype(np.int64),
+                    "high": high.astype(np.int64),
                 })
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(fingerprint, f"id {kind}, words binary, blocks array<long>, bits long")
+    return rows.mapInPandas(fingerprint, f"id {kind}, words binary, blocks array<long>, low long, high long")
 
 
 def _sets(df: DataFrame, key: str, text: str, ids: DataFrame, model: ScriptModel, n: int) -> DataFrame:
@@ -105,11 +109,12 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     """
     model = fit_scripts(df, text)
     prints = cut(fingerprints(df, key, text, model, n), "prints")
-    classes = prints.groupBy("words").agg(F.min("id").alias("rep"), F.any_value("blocks").alias("blocks"), F.any_value("bits").alias("bits"))
+    classes = prints.groupBy("words").agg(F.min("id").alias("rep"), *(F.any_value(c).alias(c) for c in ("blocks", "low", "high")))
     members = prints.select("id", "words").join(classes.select("words", "rep"), "words").select("id", "rep")
-    blocks = classes.select("rep", "bits", F.explode("blocks").alias("block"))
+    blocks = classes.select("rep", "low", "high", F.explode("blocks").alias("block"))
     a, b = blocks.alias("a"), blocks.alias("b")
-    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= FAR
+    differ = F.col("a.low").bitwiseXOR(F.col("b.low")).bitwiseOR(F.col("a.high").bitwiseXOR(F.col("b.high")))
+    near = F.bit_count(differ) <= FAR
     candidates = cut(
         a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.rep") < F.col("b.rep")) & near)
         .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
