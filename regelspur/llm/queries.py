@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regelspur.llm import consistent, leaks, mixing, neardup, pieces, sentences, terms
+from regelspur.llm import consistent, leaks, mixing, neardup, pairs, pieces, sentences, terms
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,14 +15,18 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = neardup.similar_pairs(_table(spark, sf, "chunks"), "position", "text", threshold=0.6, n=3)
-    return pairs.select(F.col("a").alias("position_a"), F.col("b").alias("position_b"))
+    similar = neardup.similar_pairs(_table(spark, sf, "chunks"), "position", "text", threshold=0.6, n=3)
+    return similar.select(F.col("a").alias("position_a"), F.col("b").alias("position_b"))
 
 
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicate_groups(_table(spark, sf, "chunks"), "position", "text", threshold=0.6, n=3)
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.broken_pairs(_table(spark, sf, "goldset"), _table(spark, sf, "chunks"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     chunks, gold = _table(spark, sf, "chunks"), _table(spark, sf, "goldset")
     model = consistent.fit_scripts(chunks, "text")
