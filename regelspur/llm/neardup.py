@@ -33,7 +33,7 @@ BLOCKS, SLOTS = 21, 3
 #: differ do). At a similarity of 0.6 it has mean 18.9 and deviation 3.6; at 0.2 mean 37.8.
 FAR = 33
 #: Ids up to which the ids of candidates are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 
 
 def _hashed(texts: list[str], model: ScriptModel, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
