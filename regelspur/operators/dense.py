@@ -107,8 +107,8 @@ def nearest(vectors: DataFrame, key: str, embedding: str, queries: DataFrame, qi
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
         got = part.orderBy("qid").collect()  # about QUERY_BLOCK rows
-        matrix = np.array([r["v"] for r in got], dtype=float).reshape(len(got), -1)
         if got:
+            matrix = np.array([r["v"] for r in got], dtype=float)
             best = _pass(rows, [r["qid"] for r in got], matrix, k, self_match, kind)
             found = best if found is None else found.unionByName(best)
     if found is None:

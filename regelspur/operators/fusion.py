@@ -27,7 +27,8 @@ def reciprocal_rank_fusion(branches: list[DataFrame], key: str = "chunk_id", k:
     key seen first (earlier branch, then rank); with ``decimals`` scores are rounded and ties go to the key.
     """
     tagged = [b.select("qid", key, "rank", "score", F.lit(i).alias("branch")) for i, b in enumerate(branches)]
-    both = reduce(DataFrame.unionByName, tagged)
+    # an exchange of its own: a union may claim the partitioning of its branches and not keep it
+    both = reduce(DataFrame.unionByName, tagged).repartition("qid", key)
     total = F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank")))
     parts = []
     for i in range(len(branches)):

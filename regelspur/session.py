@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g", **more: str) -> SparkSession:
     """A session for tests and benches on one machine; on a cluster the launcher sets these."""
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(map=more).master(f"local[{cores}]")
         .appName("regelspur")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -29,6 +29,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
 
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,13 +48,12 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    is a folder of our own chosen and put into the session.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a
+    folder of our own is chosen, once an application.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="regelspur-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="regelspur-")
     return found
 
 
