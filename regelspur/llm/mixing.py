@@ -30,12 +30,12 @@ from pyspark.sql import types as T
 
 from regelspur.session import cut
 
-#: Tokens of a block, and blocks of an output shard.
-BLOCK, SHARD_BLOCKS = 512, 4096
-#: Documents that a packing bucket holds on average.
-BUCKET_ROWS = 20_000
+#: Tokens of a block, blocks of an output shard at least, output shards at most, slots made at once.
+BLOCK, SHARD_BLOCKS, SHARDS, SLICE = 512, 4096, 8192, 1 << 20
+#: Documents that a packing bucket holds on average, and buckets of a source at most; beyond it they grow.
+BUCKET_ROWS, BUCKETS = 20_000, 4096
 #: Sources that the targets may have: they are configuration and travel with the tasks.
-MOST_SOURCES = 10_000
+MOST_SOURCES = 1000
 
 
 def default_vocabulary() -> str:
@@ -109,10 +109,10 @@ class Mix:
         self.tokens = {s: int(totals[s]["tokens"]) if s in totals else 0 for s in self.targets}
         self.total = sum(self.tokens.values())
         most = max([1, *(r["docs"] for r in totals.values())])
-        self.buckets = max(1, -(-most // BUCKET_ROWS))
+        self.buckets = min(BUCKETS, max(1, -(-most // BUCKET_ROWS)))
         bucket = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(self.buckets))
         self.packed = self.sizes.where("tokens > 0").withColumn("bucket", bucket)
-        # tokens of each bucket: targets times buckets, some dozens a hundred million documents
+        # tokens of each bucket: at most targets times BUCKETS rows, whatever the number of documents
         held = self.packed.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")).orderBy("source", "bucket").collect()
         self.offsets, self.blocks = [], dict.fromkeys(self.targets, 0)
         for r in held:
@@ -127,8 +127,9 @@ class Mix:
         names = sorted(self.targets)
         share = np.array([max(0.0, self.targets[s][0]) for s in names])
         out, first = [], dict.fromkeys(names, 0)
-        for shard in range(-(-self.slots // SHARD_BLOCKS)):
-            n = min(SHARD_BLOCKS, self.slots - shard * SHARD_BLOCKS)
+        size = max(SHARD_BLOCKS, -(-self.slots // SHARDS))
+        for shard in range(-(-self.slots // size)):
+            n = min(size, self.slots - shard * size)
             drawn = np.random.default_rng([self.seed, shard]).multinomial(n, share / share.sum())
             for s, k in zip(names, drawn.tolist()):
                 room = max(0, self.blocks[s] * self.targets[s][1] - first[s])  # beyond it the slots stay empty
@@ -156,19 +157,21 @@ class Mix:
         def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for shard, source, first, n in pdf.itertuples(index=False):
-                    slot = np.arange(first, first + n)
-                    turn, at = slot // blocks[source], slot % blocks[source]
-                    block = np.empty(n, np.int64)
-                    for t in np.unique(turn):
-                        block[turn == t] = permuted(at[turn == t], blocks[source], _seed(source, int(t), seed))
-                    yield pd.DataFrame({"shard": shard, "source": source, "slot": slot, "block": block, "turn": turn})
+                    for start in range(first, first + n, SLICE):
+                        slot = np.arange(start, min(start + SLICE, first + n))
+                        turn, at = slot // blocks[source], slot % blocks[source]
+                        block = np.empty(len(slot), np.int64)
+                        for t in np.unique(turn):
+                            block[turn == t] = permuted(at[turn == t], blocks[source], _seed(source, int(t), seed))
+                        yield pd.DataFrame({"shard": shard, "source": source, "slot": slot, "block": block, "turn": turn})
 
         rows = self.spark.createDataFrame(self.counts or [(0, "", 0, 0)], "shard long, source string, first long, n long").where("n > 0")
         return rows.repartition(max(1, min(200, len(self.counts) // 8))).mapInPandas(fill, "shard long, source string, slot long, block long, turn long")
 
     def drawn(self) -> DataFrame:
         """(shard, source, slot, turn, block, doc, from_token, tokens): what was drawn, a row a part of a document."""
-        return self.slot_table().join(self.pieces(), ["source", "block"]).select("shard", "source", "slot", "turn", "block", "doc", "from_token", "tokens")
+        # both sides grow with the data, which the planner cannot tell of the slots: no broadcast
+        return self.slot_table().hint("merge").join(self.pieces(), ["source", "block"]).select("shard", "source", "slot", "turn", "block", "doc", "from_token", "tokens")
 
     def report(self) -> DataFrame:
         """One row a target source: what it has, what it should and what it does contribute."""
