@@ -37,7 +37,8 @@ def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
         for pdf in batches:
             for name, content in zip(pdf["source_file"], pdf["content"]):
                 rows = [(name, i, kind, text, page, *box) for i, (page, kind, text, *box) in enumerate(extractor(content))]
-                yield pd.DataFrame(rows, columns=["source_file", "elem_idx", "type", "text", "page_number", "x0", "y0", "x1", "y1"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["source_file", "elem_idx", "type", "text", "page_number", "x0", "y0", "x1", "y1"])
 
     return files.select("source_file", "content").mapInPandas(run, RAW)
 
