@@ -54,6 +54,8 @@ SYMBOLS = "ΩωφµμπΔδθλ"
 
 KEEP, REPLACE, SWITCH, NEAR = 0.0, math.log(0.05), math.log(1e-4), 3.0
 FLOOR = math.log(1e-4)
+#: Passes over a text at most; a second one nearly always finds nothing to do.
+ROUNDS = 8
 
 
 def _composed() -> dict[str, str]:
@@ -211,16 +213,21 @@ def consistent_form(text: str, model: ScriptModel) -> str:
     if not _suspect.search(text):
         return text
     text = simple_form(text)
-    if not _odd.search(text):
-        return text
-    out, at = [], 0
-    while m := _odd.search(text, at):
-        start, end = m.start(), _word_end.match(text, m.start()).end()
-        while start > at and (text[start - 1].isalnum()):
-            start -= 1
-        out += [text[at:start], model.best(text[start:end], _prior(text, start, end))]
-        at = max(end, m.end())
-    return unicodedata.normalize("NFC", "".join(out) + text[at:])
+    for _ in range(ROUNDS):  # a word made Latin speaks for its neighbours, so again until nothing changes
+        if not _odd.search(text):
+            break
+        out, at = [], 0
+        while m := _odd.search(text, at):
+            start, end = m.start(), _word_end.match(text, m.start()).end()
+            while start > at and (text[start - 1].isalnum()):
+                start -= 1
+            out += [text[at:start], model.best(text[start:end], _prior(text, start, end))]
+            at = max(end, m.end())
+        after = unicodedata.normalize("NFC", "".join(out) + text[at:])
+        if after == text:
+            break
+        text = after
+    return text
 
 
 def fit_scripts(df: DataFrame, *columns: str) -> ScriptModel:

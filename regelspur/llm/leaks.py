@@ -164,10 +164,11 @@ def _pass(df: DataFrame, items: _Items) -> DataFrame:
                 keys.append(key), parts.append(hashed), lengths.append(len(hashed))
                 held += len(hashed)
                 if held >= SHARD:
-                    yield flush()
+                    if len(found := flush()):
+                        yield found
                     keys, parts, lengths, held = [], [], [], 0
-        if held:
-            yield flush()
+        if held and len(found := flush()):
+            yield found
 
     kind = df.schema["id"].dataType.simpleString()
     item = "long" if not items.ids or isinstance(items.ids[0], int) else "string"
