@@ -37,6 +37,9 @@ NORMALISE = (
     (r"[\x{2010}-\x{2014}]", "-"),
     (r"[\x{201a}\x{201e}\x{201c}\x{201d}\x{2018}\x{2019}]", '"'),
 )
+#: What a text must hold for the chains to change it at all; most hold none of it.
+CLEAN_TRIGGER = r"[\x{00ad}\x{00a0}\x{2007}\x{2009}\x{202f}\x00-\x08\n\x0b\x0c\x0e-\x1f\x7f]|[ \t]\z|^" + WS + "|" + WS + r"\z"
+NORMALISE_TRIGGER = r"[\x{00a0}\x{00ad}\x{2010}-\x{2014}\x{2018}-\x{201e}\n]"
 PARAGRAPH_SIGN = (f"§{WS}*(\\p{{Nd}}+[a-z]?)", "§$1")
 TERM = r"([a-zäöüß0-9§]+(?:-[a-zäöüß0-9]+)*)"
 HEADING = f"^{WS}*(\\d+(\\.\\d+){{1,4}}($|{NOT_W})|[A-Z]\\.\\d+(\\.\\d+)*($|{NOT_W})|(Anhang|Tabelle|Bild){WS}+[^\\s\\p{{Z}}])"
@@ -62,6 +65,15 @@ def _chain(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
+def once(expression: Column) -> Column:
+    """An expression that later filters and projections refer to but never repeat.
+
+    The planner pushes filters below projections and writes their expressions out again at each use; it
+    does not do so through a generator, here one of a single row.
+    """
+    return F.explode(F.array(expression))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, Unicode's included."""
     return F.regexp_replace(text, F.lit(f"^{WS}+|{WS}+\\z"), F.lit(""))
@@ -70,12 +82,13 @@ def strip(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """Repaired text: soft hyphens and broken words joined, fixed spaces and control characters
     replaced, line breaks inside paragraphs turned to spaces, paragraphs kept apart by a blank line."""
-    return _chain(text, CLEAN)
+    return F.when(text.rlike(CLEAN_TRIGGER), _chain(text, CLEAN)).otherwise(text)
 
 
 def normalise(text: Column) -> Column:
     """The form in which texts are compared: joined words, plain hyphens and quotes, lower case, single spaces."""
-    flat = F.regexp_replace(F.lower(_chain(text, NORMALISE)), F.lit(WS + "+"), F.lit(" "))
+    plain = F.when(text.rlike(NORMALISE_TRIGGER), _chain(text, NORMALISE)).otherwise(text)
+    flat = F.regexp_replace(F.lower(plain), F.lit(WS + "+"), F.lit(" "))
     return F.regexp_replace(flat, F.lit("^ | \\z"), F.lit(""))
 
 
@@ -85,14 +98,18 @@ def letters(text: Column) -> Column:
 
 def is_boilerplate(text: Column, kind: Column) -> Column:
     """Empty, dot leaders, imprint, or (tables apart) fewer than 35 letters in a hundred characters."""
-    bare = strip(text)
-    share = letters(bare) / F.nullif(F.length(bare), F.lit(0))
-    return (
-        F.when(F.length(F.coalesce(bare, F.lit(""))) == 0, True)
-        .when(text.rlike(LEADERS) | bare.rlike(IMPRINT), True)
-        .when(F.coalesce(kind, F.lit("")) == "Table", False)
-        .otherwise(share < 0.35)
-    )
+
+    def judge(bare: Column) -> Column:
+        share = letters(bare) / F.nullif(F.length(bare), F.lit(0))
+        return (
+            F.when(F.length(bare) == 0, True)
+            .when(bare.rlike(LEADERS) | bare.rlike(IMPRINT), True)
+            .when(F.coalesce(kind, F.lit("")) == "Table", False)
+            .otherwise(share < 0.35)
+        )
+
+    # the stripped text is used five times and worked out once
+    return F.get(F.transform(F.array(strip(F.coalesce(text, F.lit("")))), judge), F.lit(0))
 
 
 def tokenize(text: Column) -> Column:
@@ -103,8 +120,7 @@ def tokenize(text: Column) -> Column:
 
 def filter_tokens(tokens: Column) -> Column:
     """Terms of two characters or more that are no stopwords."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(tokens, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
 
 
 def analyse(text: Column) -> Column:

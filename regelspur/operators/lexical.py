@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regelspur.functions import text as T
-from regelspur.session import fits
+from regelspur.session import cut, fits
 
 K1, B = 1.5, 0.75
 #: Question terms up to which they are broadcast to the postings; beyond it both are shuffled by term.
@@ -46,8 +46,11 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> LexicalIndex:
-    """Index the analysed terms of a column. Images should have been left out, unknown types kept."""
-    terms = chunks.select(key, T.analyse(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    """Index the analysed terms of a column. Images should have been left out, unknown types kept.
+
+    Texts are analysed once: their terms are written to the shared folder and all tables start there.
+    """
+    terms = cut(chunks.select(key, T.analyse(F.coalesce(F.col(text), F.lit(""))).alias("terms")), "terms")
     doc_stats = terms.select(key, F.size("terms").alias("dl"))
     postings = terms.select(key, F.explode("terms").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).cast("int").alias("tf"))
     corpus = doc_stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))

@@ -55,7 +55,8 @@ def without_overlap(blocks: DataFrame) -> DataFrame:
 
 def accept(elements: DataFrame, drop_boilerplate: bool = True) -> DataFrame:
     """Cleaned blocks that are not empty and, unless asked to keep it, no boilerplate."""
-    cleaned = elements.withColumn("text", T.clean(F.col("text"))).where(F.length("text") > 0)
+    others = [c for c in elements.columns if c != "text"]
+    cleaned = elements.where("text is not null").select(*others, T.once(T.clean(F.col("text"))).alias("text")).select(elements.columns).where(F.length("text") > 0)
     return cleaned.where(~T.is_boilerplate(F.col("text"), F.col("type"))) if drop_boilerplate else cleaned
 
 
