@@ -52,7 +52,7 @@ LOOK_ALIKES = {
 #: Letters of other scripts used as symbols: they neither change nor speak for a script.
 SYMBOLS = "ΩωφµμπΔδθλ"
 
-KEEP, REPLACE, SWITCH, NEAR = 0.0, math.log(0.05), math.log(1e-4), 3.0
+KEEP, REPLACE, SWITCH, NEAR = 0.0, math.log(0.2), math.log(1e-4), 10.0
 FLOOR = math.log(1e-4)
 #: Passes over a text at most; a second one nearly always finds nothing to do.
 ROUNDS = 8
@@ -114,9 +114,9 @@ _N = len(_ALPHABET) + 1
 
 def script(c: str) -> str:
     """L, C, G or A for a Latin, Cyrillic, Greek or Armenian letter, else an empty string."""
-    o = ord(c)
-    if c in SYMBOLS or not c.isalpha():
+    if not c or c in SYMBOLS or not c.isalpha():
         return ""
+    o = ord(c)
     if o == 0x131 or c in LATIN_OF and o not in range(0x370, 0x600):
         return "X"  # phonetic letters and the like: never part of an ordinary word
     if o < 0x250 or 0x1E00 <= o < 0x1F00:
@@ -137,16 +137,33 @@ class ScriptModel:
         for k, n in self.pairs.items():
             total[k // _N] = total.get(k // _N, 0) + n
         self.total = total
+        self.starts: dict[str, int] = {}
+        #: Letters seen of each script that cannot be Latin ones: without any, its words are all look-alikes.
+        self.real: dict[str, int] = {}
+        for k, n in self.pairs.items():
+            if k % _N and _ALPHABET[k % _N - 1] not in LATIN_OF:
+                c = script(_ALPHABET[k % _N - 1])
+                self.real[c] = self.real.get(c, 0) + n
+            if k < _N and k:
+                c = script(_ALPHABET[k - 1])
+                self.starts[c] = self.starts.get(c, 0) + n
         self.memo: dict[tuple, str] = {}
 
     def __reduce__(self):
         return ScriptModel, (self.pairs,)
 
     def score(self, a: str, b: str) -> float:
-        """log P(b after a); pairs never seen get the floor."""
+        """log P(b after a), smoothed, so a script of which little was seen is not ruled out; not below the floor.
+
+        What starts a word of a script is told from the other starts of that script.
+        """
         i, j = int(_INDEX[ord(a)]) if a and ord(a) < 0x10000 else 0, int(_INDEX[ord(b)]) if b and ord(b) < 0x10000 else 0
-        n = self.pairs.get(i * _N + j, 0)
-        return max(FLOOR, math.log(n / self.total[i])) if n else FLOOR
+        if a and not i or b and not j:
+            return FLOOR  # no letter of the alphabets
+        if b and script(b) and not self.real.get(script(b)):
+            return FLOOR
+        total = self.total.get(i, 0) if i else self.starts.get(script(b), 0)
+        return max(FLOOR, math.log((self.pairs.get(i * _N + j, 0) + 0.5) / (total + 20.0)))
 
     def best(self, word: str, prior: dict[str, float]) -> str:
         """The best path through the lattice of ``word``."""
@@ -188,13 +205,22 @@ def _speaks(word: str) -> str:
     return latin
 
 
+_breaks = re.compile(r"[^\w\s-]")
+
+
 def _prior(text: str, start: int, end: int) -> dict[str, float]:
-    """What the nearest words on either side that speak for a script make of a word between them."""
+    """What the nearest words on either side that speak for a script make of a word between them.
+
+    A neighbour behind a mark (a quote, a comma) speaks half as loud.
+    """
     prior: dict[str, float] = {}
-    for words in (_word.findall(text[max(0, start - 60) : start])[::-1], _word.findall(text[end : end + 60])):
-        for w in words[:4]:
+    left, right = text[max(0, start - 60) : start], text[end : end + 60]
+    before = [(m[0], left[m.end() :]) for m in _word.finditer(left)][::-1]
+    after = [(m[0], right[: m.start()]) for m in _word.finditer(right)]
+    for words in (before, after):
+        for w, between in words[:4]:
             if k := _speaks(w):
-                prior[k] = prior.get(k, 0.0) + NEAR
+                prior[k] = prior.get(k, 0.0) + NEAR / (2 if _breaks.search(between) else 1)
                 break
     return prior
 
