@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regelspur.functions.text import WS, clean, strip
 
-#: Publishers whose designations are recognised (fixed values; add your own).
+#: Publishers of regulations whose designations are recognised (fixed values; add your own).
 PUBLISHERS = ("DGUV", "UVK")
 _KIND = "(?i:Regel|Information|Vorschrift|Grundsatz)"
 _NAME = "(?i:" + "|".join(PUBLISHERS) + ")"

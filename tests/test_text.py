@@ -19,9 +19,9 @@ def run(spark, f, values, type_="string"):
 CASES = [
     ("Unterneh­men", "unternehmen", "Unternehmen"),
     ("Unterneh-\nmen", "unternehmen", "Unternehmen"),
-    ("DGUV-\nRegel", "dguvregel", "DGUV-Regel"),
+    ("UVK-\nRegel", "uvkregel", "UVK-Regel"),
     ("Mess-\nund Prüfmittel", "messund prüfmittel", "Mess- und Prüfmittel"),
-    ("DGUV Information 203-\n071", "dguv information 203071", "DGUV Information 203-071"),
+    ("UVK Information 203-\n071", "uvk information 203071", "UVK Information 203-071"),
     ("§ 2 Absatz 1", "§ 2 absatz 1", "§ 2 Absatz 1"),
     ("A – B", "a - b", "A – B"),
     ("„Grundsätze“", '"grundsätze"', "„Grundsätze“"),
