@@ -9,17 +9,28 @@ from pyspark.sql import functions as F
 
 from regelspur.functions import replies, titles
 from regelspur.functions import text as T
+from regelspur.session import cut
 
 SEPARATOR = "\n\n---\n\n"
 #: Share of a question's terms that the best sentence must hold for the offline generator to answer.
 LEAST_OVERLAP = 0.5
 
 
+def _labelled(source: Column, page: Column, text: Column) -> Column:
+    """A passage under its label, the form in which it is to be cited."""
+    missing = F.lit("?")
+    label = F.concat(F.lit("["), F.coalesce(source, missing), F.lit(", Seite "), F.coalesce(page.cast("string"), missing), F.lit("]\n"))
+    return F.concat(label, F.coalesce(text, F.lit("")))
+
+
+def context(passages: Column) -> Column:
+    """What a model is prompted with: the passages of a question (array of rank, text, source_file, page_number) in order."""
+    return F.array_join(F.transform(passages, lambda p: _labelled(p["source_file"], p["page_number"], p["text"])), SEPARATOR)
+
+
 def build_context(passages: DataFrame) -> DataFrame:
     """(qid, context): the passages of a question (qid, rank, source_file, page_number, text) in order, each under its label."""
-    missing = F.lit("?")
-    label = F.concat(F.lit("["), F.coalesce("source_file", missing), F.lit(", Seite "), F.coalesce(F.col("page_number").cast("string"), missing), F.lit("]\n"))
-    block = F.struct("rank", F.concat(label, F.coalesce("text", F.lit(""))).alias("b"))
+    block = F.struct("rank", _labelled(F.col("source_file"), F.col("page_number"), F.col("text")).alias("b"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda s: s["b"]), SEPARATOR)
     return passages.groupBy("qid").agg(joined.alias("context"))
 
@@ -36,28 +47,42 @@ def build_sources(passages: DataFrame, names: DataFrame, answers: DataFrame | No
     return pages.join(known, "source_file", "left").select("qid", "source_file", "page_number", titles.describe(F.col("title"), F.col("source_file")).alias("title"))
 
 
-def extractive(question: Column, text: Column, source: Column, page: Column) -> Column:
-    """The offline generator: the sentence of the first passage that holds most of the question's terms, cited;
-    a refusal where even that holds fewer than half of them."""
-    asked = F.array_distinct(T.analyse(question))
-    sentences = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")
-    scored = F.transform(sentences, lambda s: F.struct(F.try_divide(F.size(F.array_intersect(asked, T.analyse(s))).cast("double"), F.size(asked)).alias("v"), s.alias("s")))
-    best = F.array_max(scored)
-    cite = F.concat(F.lit(" ["), source, F.lit(", Seite "), F.coalesce(page.cast("string"), F.lit("?")), F.lit("]"))
-    refuse = F.lit(replies.REFUSAL_TOKEN + " Der Kontext beantwortet die Frage nicht.")
-    return F.when(best["v"] >= LEAST_OVERLAP, F.concat(best["s"], cite)).otherwise(refuse)
+def extractive(question: Column, passages: Column) -> Column:
+    """The offline generator: of all passages the sentence that holds most of the question's terms, cited; a
+    refusal where even that holds fewer than half of them. Ties go to the better rank."""
+
+    def best(asked: Column) -> Column:
+        def scored(p: Column) -> Column:
+            sentences = F.split(F.coalesce(p["text"], F.lit("")), r"(?<=[.!?])\s+")
+            share = lambda s: F.try_divide(F.size(F.array_intersect(asked, T.analyse(s))).cast("double"), F.size(asked))
+            return F.transform(sentences, lambda s: F.struct(share(s).alias("v"), (-p["rank"]).alias("r"), s.alias("s"), p["source_file"].alias("f"), p["page_number"].alias("p")))
+
+        return F.array_max(F.flatten(F.transform(passages, scored)))
+
+    def said(b: Column) -> Column:
+        missing = F.lit("?")
+        cite = F.concat(F.lit(" ["), F.coalesce(b["f"], missing), F.lit(", Seite "), F.coalesce(b["p"].cast("string"), missing), F.lit("]"))
+        refuse = F.lit(replies.REFUSAL_TOKEN + " Der Kontext beantwortet die Frage nicht.")
+        return F.when(b["v"] >= LEAST_OVERLAP, F.concat(b["s"], cite)).otherwise(refuse)
+
+    # the question's terms and the best sentence are used several times and worked out once
+    found = F.transform(F.array(F.array_distinct(T.analyse(question))), best)
+    return F.get(F.transform(found, said), F.lit(0))
 
 
-def answer(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, names: DataFrame, top_k: int = 5, generator: Callable[[Column, Column, Column, Column], Column] = extractive) -> DataFrame:
-    """(qid, question, answer, abstained, sources): every question answered from its passages.
+def answer(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, names: DataFrame, top_k: int = 5, generator: Callable[[Column, Column], Column] = extractive) -> DataFrame:
+    """(qid, question, answer, abstained, sources): every question answered from its ``top_k`` passages.
 
-    Without passages a fixed sentence, as a refusal. A refusal has no sources, whatever its text cites.
+    The generator is given the question and all its passages, an array of (rank, text, source_file, page_number)
+    in order; ``context`` makes of it the text that a model is prompted with. Without passages a fixed sentence,
+    as a refusal. A refusal has no sources, whatever its text cites.
     """
     passages = ranked.where(F.col("rank") <= top_k).join(chunks.select("chunk_id", "text", "source_file", "page_number"), "chunk_id")
-    first = passages.where("rank = 1").select("qid", "text", "source_file", "page_number")
-    raw = queries.select("qid", "question").join(first, "qid", "left")
-    made = F.when(F.col("source_file").isNull(), F.lit(None).cast("string")).otherwise(generator(F.col("question"), F.col("text"), F.col("source_file"), F.col("page_number")))
-    raw = raw.select("qid", "question", made.alias("raw"))
+    passages = cut(passages.select("qid", "rank", "text", "source_file", "page_number"), "retrieved")
+    held = passages.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "source_file", "page_number"))).alias("passages"))
+    raw = queries.select("qid", "question").join(held, "qid", "left")
+    made = F.when(F.col("passages").isNotNull(), generator(F.col("question"), F.col("passages")))
+    raw = cut(raw.select("qid", "question", made.alias("raw")), "replies")
     cited = build_sources(passages, names, raw.where("raw is not null").select("qid", F.col("raw").alias("answer")))
     order = F.struct(F.coalesce("source_file", F.lit("")).alias("f"), F.coalesce("page_number", F.lit(0)).alias("p"), F.struct("source_file", "page_number", "title").alias("s"))
     sources = cited.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(order)), lambda o: o["s"]).alias("sources"))

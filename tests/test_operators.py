@@ -205,6 +205,27 @@ def test_answers(spark):
     assert "SELV" in answers.render(1, got["q0"])
 
 
+def test_answers_use_all_passages(spark):
+    rows = [(f"c{i}", f"Wort {i}.", "f.pdf", i) for i in range(1, 7)]
+    rows[2] = ("c3", "Vorweg. Die Frist der Prüfung beträgt ein Jahr.", "g.pdf", 7)
+    rows[5] = ("c6", "Frist der Prüfung von Zangen.", "h.pdf", 9)
+    rows += [("n1", "Erdung der Anlage.", None, 1), ("t1", "Kabel im Rohr.", "f.pdf", 1), ("t2", "Rohr und Kabel.", "g.pdf", 2)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, source_file string, page_number int")
+    ranked = [("q", r, f"c{r}") for r in range(1, 7)] + [("z", r, f"c{r}") for r in range(1, 7)] + [("n", 1, "n1"), ("t", 1, "t1"), ("t", 2, "t2")]
+    ranked = spark.createDataFrame(ranked, "qid string, rank int, chunk_id string")
+    asked = spark.createDataFrame([("q", "Frist Prüfung?"), ("z", "Zangen Frist Prüfung Montage Kran?"), ("n", "Erdung Anlage?"), ("t", "Kabel Rohr?"), ("-", "Nichts?")], "qid string, question string")
+    names = spark.createDataFrame([("g.pdf", "Titel")], schemas.TITLES)
+    got = {r["qid"]: r for r in answers.answer(asked, ranked, chunks, names).collect()}
+    assert not got["q"]["abstained"] and got["q"]["answer"] == "Die Frist der Prüfung beträgt ein Jahr. [g.pdf, Seite 7]"
+    assert [s["source_file"] for s in got["q"]["sources"]] == ["g.pdf"]
+    assert got["z"]["abstained"] and got["z"]["sources"] == []  # the only passage that would do has rank 6
+    assert not got["n"]["abstained"] and got["n"]["answer"] == "Erdung der Anlage. [?, Seite 1]" and got["n"]["sources"] == []
+    assert got["t"]["answer"].endswith("[f.pdf, Seite 1]") and got["-"]["abstained"]
+    shown = {r["qid"]: r["answer"] for r in answers.answer(asked, ranked, chunks, names, generator=lambda q, p: answers.context(p)).collect()}
+    want = {r["qid"]: r["context"] for r in answers.build_context(ranked.where("rank <= 5").join(chunks, "chunk_id")).collect()}
+    assert want == {q: shown[q] for q in want} and shown["q"].count("---") == 4
+
+
 def test_sources_drop_pages_not_retrieved(spark):
     pages = spark.createDataFrame([("q", "f.pdf", 1), ("q", "f.pdf", 1), ("q", "g.pdf", 2)], "qid string, source_file string, page_number int")
     said = spark.createDataFrame([("q", "so [f, Seite 1] und [h, Seite 9]")], "qid string, answer string")
