@@ -173,16 +173,31 @@ class Mix:
         # both sides grow with the data, which the planner cannot tell of the slots: no broadcast
         return self.slot_table().hint("merge").join(self.pieces(), ["source", "block"]).select("shard", "source", "slot", "turn", "block", "doc", "from_token", "tokens")
 
+    def by_block(self) -> DataFrame:
+        """(source, block, tokens, times, last_turn): every packed block and how often it was drawn."""
+        packed = self.pieces().groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
+        times = self.slot_table().groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"), F.max("turn").alias("last_turn"))
+        return packed.hint("merge").join(times, ["source", "block"], "left").na.fill(0, ["times"])
+
     def report(self) -> DataFrame:
-        """One row a target source: what it has, what it should and what it does contribute."""
-        reached = self.drawn().groupBy("source").agg(F.sum("tokens").alias("drawn_tokens"), F.max("turn").alias("last_turn"))
+        """One row a target source: what it has, what it should and what it does contribute.
+
+        ``short`` is settled by the draw: what was drawn and what the turns left of its blocks still hold do not
+        reach the target.
+        """
         scale = sum(max(0.0, s) for s, _ in self.targets.values()) or 1.0
-        rows = [
-            (s, share, repeats, self.tokens[s], share / scale * self.total, self.tokens[s] * repeats < share / scale * self.total)
-            for s, (share, repeats) in self.targets.items()
-        ]
-        wanted = self.spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens long, target_tokens double, short boolean")
+        rows = [(s, share, repeats, self.tokens[s], share / scale * self.total) for s, (share, repeats) in self.targets.items()]
+        wanted = self.spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens long, target_tokens double")
+        turns = F.broadcast(wanted.select("source", "max_repeats"))
+        left = F.greatest(F.lit(0), F.col("max_repeats") - F.col("times"))
+        reached = self.by_block().join(turns, "source").groupBy("source").agg(
+            F.sum(F.col("tokens") * F.col("times")).alias("drawn_tokens"), F.sum(F.col("tokens") * left).alias("left_tokens"), F.max("last_turn").alias("last_turn")
+        )
         all_tokens = Window.partitionBy()  # over one row a target source
-        out = wanted.join(reached, "source", "left").na.fill(0, ["drawn_tokens"])
+        out = wanted.join(reached, "source", "left").na.fill(0, ["drawn_tokens", "left_tokens"])
         share = F.try_divide(F.col("drawn_tokens"), F.sum("drawn_tokens").over(all_tokens))
-        return out.withColumn("actual_share", F.coalesce(share, F.lit(0.0))).withColumn("repeats", F.coalesce(F.col("last_turn") + 1, F.lit(0))).drop("last_turn")
+        short = F.col("drawn_tokens") + F.col("left_tokens") < F.col("target_tokens")
+        return out.select(
+            "source", "target_share", "max_repeats", "tokens", "target_tokens", short.alias("short"), "drawn_tokens",
+            F.coalesce(share, F.lit(0.0)).alias("actual_share"), F.coalesce(F.col("last_turn") + 1, F.lit(0)).alias("repeats"),
+        )

@@ -91,6 +91,23 @@ def test_mix(spark):
     assert sorted(map(tuple, again.drawn().collect())) == sorted(map(tuple, drawn.collect()))
 
 
+def test_shortfall_comes_from_the_draw(spark):
+    docs = [(i, "ein wort und noch eins " * (1 + i % 7), "gross") for i in range(300)] + [(1000 + i, "kleine quelle mit text " * 3, "klein") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    mix = lambda share: M.Mix(df, "doc_id", "text", "source", spark.createDataFrame([("gross", 1 - share, 2), ("klein", share, 3)], "source string, target_share double, max_repeats int"), block=32)
+    short = lambda m: {r["source"] for r in m.report().where("short").select("source").collect()}
+    plan = mix(0.4).report().where("short").select("source")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "Window" in plan  # slots and packing
+    # at the limit too, whatever number of slots was drawn by chance
+    own = mix(0.4)
+    limit = 3 * own.tokens["klein"] / own.total
+    assert short(mix(limit * 1.001)) == {"klein"} and short(mix(limit * 0.999)) == set()
+    # a draw that took blocks more often than it may would have reached the target
+    assert short(own) == {"klein"}
+    own.counts = [(0, "klein", 0, own.blocks["klein"] * 100)]
+    assert short(own) == set()
+
+
 def test_shares_are_reached(spark):
     docs = [(i, "ein wort und noch eins mehr " * 20, f"q{i % 4}") for i in range(800)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
