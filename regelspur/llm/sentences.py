@@ -70,6 +70,8 @@ _script = re.compile(
     "(?P<el>[\u0370-\u03a8\u03aa-\u03bb\u03bd-\u03c5\u03c7-\u03ff\u1f00-\u1fff]{2,})|(?P<cy>[\u0400-\u052f]+)|(?P<ar>[\u0590-\u08ff]+)"
     "|(?P<hi>[\u0900-\u0dff]+)|(?P<th>[\u0e00-\u0e7f]+)|(?P<cjk>[\u3040-\u9fff\uac00-\ud7af]+)|(?P<la>[A-Za-z\u00c0-\u024f]{2,})"
 )
+#: Any letter that is not Latin: most texts have none and need no count of letters by script.
+_other_script = re.compile("[\u0370-\u052f\u0590-\u0dff\u0e00-\u0e7f\u1f00-\u1fff\u3040-\u9fff\uac00-\ud7af]")
 
 
 def small_words(text: str) -> list[float]:
@@ -86,17 +88,16 @@ def small_words(text: str) -> list[float]:
 def _group(paragraph: str) -> str:
     """The group of languages that share a model: by script, Latin ones by their commonest small words.
 
-    The first 300 characters decide; of several scripts the one with most letters in them.
+    All of the paragraph decides; of several scripts the one with most letters in it.
     """
-    head = paragraph[:300]
-    if not head.isascii():
+    if not paragraph.isascii() and _other_script.search(paragraph):
         letters = dict.fromkeys(("la",), 0)
-        for m in _script.finditer(head):
+        for m in _script.finditer(paragraph):
             letters[m.lastgroup] = letters.get(m.lastgroup, 0) + m.end() - m.start()
         best = max(letters, key=letters.get)
         if best != "la":
             return best
-    votes = small_words(head)
+    votes = small_words(paragraph)
     return _GROUPS[votes.index(max(votes))]
 
 
