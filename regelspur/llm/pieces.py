@@ -23,8 +23,10 @@ NATURAL = f"(?:{LINE}|{SENTENCE})"
 
 
 def _extract(limit: int, first: int) -> str:
-    """One piece of at most ``limit`` characters, or ``first`` where only that reaches a boundary."""
-    ends = [f"\\n{WS}*\\n", LINE, f"[.!?]{WS}+"]
+    """One piece of at most ``limit`` characters, or ``first`` where only that reaches a boundary or the end of
+    the white space after one; white space beyond it is left to the next piece."""
+    more = first - limit
+    ends = [f"\\n{WS}{{0,{more}}}\\n", LINE, f"[.!?]{WS}{{1,{more + 1}}}"]
     natural = [f".{{0,{limit - 2}}}{e}" for e in ends]
     wide = [f".{{0,{first - 2}}}(?:{LINE}|[.!?]{WS})"]
     return "(?s)(" + "|".join([f".{{1,{limit}}}\\z", *natural, *wide, f".{{0,{limit - 1}}}{WS}", f".{{1,{limit}}}"]) + ")"

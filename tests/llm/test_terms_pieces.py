@@ -77,6 +77,14 @@ def test_pieces(spark):
     assert P.pieces(spark.createDataFrame([], "id int, text string"), "text").count() == 0
 
 
+def test_pieces_with_long_white_space(spark):
+    texts = ["a" * 1340 + "." + " " * n + "b" * 1340 + ". c" for n in (1, 150, 151, 152, 160, 400, 1700, 5000)]
+    texts += ["a" * 1340 + "\n" + " " * n + "\n" + "b" * 1340 for n in (0, 149, 150, 151, 160, 400, 1700)] + ["\n" * 4000, " " * 4000]
+    check(spark, texts)
+    check(spark, [t.replace("b" * 1340, "b") for t in texts], 1500, 0)
+    check(spark, ["ab." + " " * n + "cd\n" + "\u3000" * n + "\nef" for n in range(40)], 20, 5)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text("ab. !\n", max_size=120), min_size=1, max_size=15))
 def test_pieces_of_random_texts(spark, texts):
