@@ -10,8 +10,12 @@ from regelspur.functions import text as T
 from regelspur.operators import answers, chunking, compare, dense, evaluation, fusion, goldset, lexical, metrics
 from regelspur.plans import sql as S
 from regelspur.plans.text_queries import table
+from regelspur.session import fits
 from regelspur.sources.store import upserted
 
+#: Anchor terms up to which they are broadcast to the passages; beyond it the planner chooses.
+BROADCAST_ANCHORS = 1000
+
 
 def passages(spark, sf) -> DataFrame:
     return chunking.dedupe_first(table(spark, sf, "chunks").where("NOT (type <=> 'Image')"))
@@ -162,9 +166,10 @@ def mcnemar(spark, sf):
 
 
 def abstention_rollup(spark, sf):
-    """An unanswerable question abstains if no passage holds its anchor term; the 36 questions are a fixed table."""
+    """An unanswerable question abstains if no passage holds its anchor term; all are searched, however many."""
     rows = table(spark, sf, "unanswerable")
-    anchors = F.broadcast(rows.select("id", F.lower("anchor_term").alias("a")).limit(1000))
+    anchors = rows.select("id", F.lower("anchor_term").alias("a"))
+    anchors = F.broadcast(anchors) if fits(anchors, BROADCAST_ANCHORS) else anchors
     held = passages(spark, sf).select(T.normalise(F.col("text")).alias("n")).join(anchors, F.contains(F.col("n"), F.col("a"))).select("id").distinct()
     judged = rows.join(held.withColumn("held", F.lit(True)), "id", "left").select("category", F.col("held").isNull().alias("abstained"))
     return evaluation.abstention(judged)

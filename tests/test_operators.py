@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regelspur import schemas
 from regelspur.config import CONFIGS, corpus_paths, get_config
 from regelspur.operators import answers, chunking, compare, dense, evaluation, fusion, goldset, lexical, metrics, retrievers
+from regelspur.plans import retrieval_queries
 from regelspur.sources import elements as E
 from regelspur.sources import tables
 from regelspur.sources.store import VectorStore
@@ -226,6 +227,16 @@ def test_answers_use_all_passages(spark):
     assert want == {q: shown[q] for q in want} and shown["q"].count("---") == 4
 
 
+def test_all_anchors_are_searched(spark, tmp_path):
+    held = spark.range(1200).selectExpr("concat('u', id) AS id", "'' AS question", "'A' AS category", "concat('Wort', id, 'x') AS anchor_term")
+    held.union(held.limit(1).selectExpr("'none'", "''", "'B'", "'fehlt'")).write.parquet(f"{tmp_path}/unanswerable.parquet")
+    text = " ".join(f"Wort{i}x" for i in range(1200))
+    rows = [(0, "c", "f.pdf", 1, "NarrativeText", text)]
+    spark.createDataFrame(rows, "position int, chunk_id string, source_file string, page_number int, type string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["category"]: r["abstention_rate"] for r in retrieval_queries.abstention_rollup(spark, str(tmp_path)).collect()}
+    assert got["A"] == 0 and got["B"] == 1
+
+
 def test_sources_drop_pages_not_retrieved(spark):
     pages = spark.createDataFrame([("q", "f.pdf", 1), ("q", "f.pdf", 1), ("q", "g.pdf", 2)], "qid string, source_file string, page_number int")
     said = spark.createDataFrame([("q", "so [f, Seite 1] und [h, Seite 9]")], "qid string, answer string")
