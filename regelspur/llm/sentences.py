@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from regelspur.session import cut
 
-#: Distinct (group, left, right, kind) that the model keeps; rarer left words fall back to their class.
+#: Distinct (group, left, right) that the model keeps; beyond it the rarest left words are counted with their class.
 CAPACITY = 200_000
 ROUNDS = 12
 #: Left classes of marks that end a sentence wherever one can start behind them.
@@ -272,6 +272,12 @@ def annotate(text: str) -> tuple[list[int], list[str]]:
     return at, keys
 
 
+def _parts(key: str) -> tuple[str, str, str]:
+    """Group, left and right class of a key; the left one may hold bars itself."""
+    group, rest = key.split("|", 1)
+    return group, *rest.rsplit("|", 1)
+
+
 class Boundaries:
     """The fitted model: the probability of a boundary, by group, left and right class."""
 
@@ -331,7 +337,7 @@ class Boundaries:
         """Of a boundary; keys never met fall back to the class of the word, then to the right side."""
         found = self.odds.get(key)
         if found is None and key:
-            group, left, right = key.split("|")
+            group, left, right = _parts(key)
             if left.endswith(".") and left not in ("0.", "w."):
                 found = self.odds.get(f"{group}|w.|{right}")
             if found is None:
@@ -363,8 +369,36 @@ def annotated(df: DataFrame, key: str, text: str, keep: bool = False) -> DataFra
 def fit_annotated(notes: DataFrame) -> Boundaries:
     """Train the model on annotated texts, all of them."""
     counted = notes.select(F.explode("keys").alias("key")).where("key <> ''").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    kept = counted.orderBy(F.desc("n"), "key").limit(CAPACITY).collect()
-    return Boundaries(_maximise({tuple(r["key"].split("|")): r["n"] for r in kept if r["key"].count("|") == 2}))
+    got = counted.orderBy(F.desc("n"), "key").limit(CAPACITY + 1).collect()
+    return Boundaries(_maximise({_parts(r["key"]): r["n"] for r in got} if len(got) <= CAPACITY else _folded(counted)))
+
+
+def _folded(counted: DataFrame) -> dict[tuple[str, str, str], int]:
+    """The counts with the rarest left words under their class ``w.``: every count is in them.
+
+    A word is kept with all its right classes or with none, or its ends of paragraphs would be missing.
+    """
+    key = F.col("key")
+    split = counted.select(
+        F.substring_index(key, "|", 1).alias("group"), F.regexp_extract(key, r"(?s)\A[^|]*\|(.*)\|[^|]*\z", 1).alias("left"), F.substring_index(key, "|", -1).alias("right"), "n"
+    )
+    word = F.col("left").endswith(".") & ~F.col("left").isin(".", "0.", "w.")
+    # classes are few, and so are the sums of all words by group and right class
+    out = {(r["group"], r["left"], r["right"]): r["n"] for r in split.where(~word).collect()}
+    rest = {(r["group"], "w.", r["right"]): r["n"] for r in split.where(word).groupBy("group", "right").agg(F.sum("n").alias("n")).collect()}
+    words = split.where(word).groupBy("group", "left").agg(F.collect_list(F.struct("right", "n")).alias("own"), F.sum("n").alias("n"))
+    room = CAPACITY - len(out)
+    for r in words.orderBy(F.desc("n"), "group", "left").limit(CAPACITY).collect():
+        room -= len(r["own"])
+        if room < 0:
+            break
+        for right, n in r["own"]:
+            out[r["group"], r["left"], right] = n
+            rest[r["group"], "w.", right] -= n
+    for k, n in rest.items():
+        if n:
+            out[k] = out.get(k, 0) + n
+    return out
 
 
 def fit_boundaries(df: DataFrame, text: str) -> Boundaries:
