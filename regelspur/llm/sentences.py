@@ -1,13 +1,25 @@
 """Sentence boundaries across languages and scripts.
 
-Method: a hidden-event n-gram language model. Between two words stands an event, boundary or none,
-that is not written; the model has P(event | word on the left) and P(word class on the right |
-boundary) or P(word class on the right | word on the left, none). It is trained on the table itself,
-without labels: ends and starts of paragraphs are boundaries that can be seen, all other events are
-hidden, and expectation maximisation fills them in. So ``Nr.`` and ``Hr.``, which never end a
-paragraph, become words that no boundary follows, ``usw.`` does not, and in Thai, where words have
-no marks, the event stands at spaces. Forward-backward over each chain of neighbouring places gives
-the posteriors that decide.
+Method: a hidden-event n-gram language model. Between every two words of a paragraph stands an event,
+boundary or none, that is not written. Two n-gram models give its evidence:
+
+- at marks (full stops and the like) the n-gram (word before, word with its mark, event, class of what
+  follows). Ends and starts of paragraphs are boundaries that can be seen, all other events at marks are
+  hidden, and expectation maximisation fills them in. So ``Nr.`` and ``Hr.``, which never end a paragraph,
+  become words that no boundary follows, ``usw.`` does not, and ``am 8.`` differs from ``puerta 8.``;
+- at gaps without a mark the word trigram with events: P(end | words before) P(word | start) against
+  P(word | words before). It is counted between the marks and at the ends of paragraphs, where the
+  events are certain. In a paragraph that has no mark at all (lines of speech, titles) it decides alone; in one
+  that has some, a boundary without a mark has the rate at which such paragraphs end without one.
+
+Scripts that part phrases by spaces and not words (Thai, Lao, Khmer, Burmese, Tibetan) have events at
+spaces and own marks; Chinese and Japanese characters are words of their own. Forward-backward over
+the events of a paragraph gives the posteriors that decide: what follows a boundary has another history than
+what does not, and a unit of a few characters is unlikely. A gap whose boundary is less likely than
+``NEVER`` is certain to be none, so the chain may be cut there.
+
+The tables of both models have a fixed number of cells, words are hashed into them: all texts are
+counted, in the tasks, and what is summed, collected and sent does not grow with the collection.
 
 What is certain is not asked of the model: a blank line ends a unit; a single line break does before
 a list marker; marks inside a quotation that the outer sentence continues do not.
@@ -18,18 +30,18 @@ a list marker; marks inside a quotation that the outer sentence continues do not
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regelspur.session import cut
+from regelspur.llm.gaps import START, TABLES, Counts, WordModel, Words
 
-#: Distinct (group, left, right) that the model keeps; beyond it the rarest left words are counted with their class.
-CAPACITY = 200_000
 ROUNDS = 12
 #: Left classes of marks that end a sentence wherever one can start behind them.
 MARKS = ("!", "?", "…", "。")
@@ -38,70 +50,48 @@ MARKS = ("!", "?", "…", "。")
 LONG = re.compile(r"[^\W\d_]{5,}\.\Z")
 #: Shares of a word's places that are boundaries, each with its prior: most words end sentences
 #: always or never.
-SHARES = ((0.001, 0.15), (0.05, 0.01), (0.2, 0.01), (0.5, 0.01), (0.8, 0.02), (0.95, 0.1), (0.999, 0.7))
+SHARES = ((0.001, 0.15), (0.05, 0.01), (0.2, 0.01), (0.5, 0.01), (0.8, 0.01), (0.95, 0.02), (0.999, 0.79))
+_SHARE, _PRIOR = (np.array(x) for x in zip(*SHARES))
+#: Weight of what a word says by itself where it is seen with the word before it.
+TRUST = 0.98
 
 _blank = re.compile(r"\n[^\S\n]*\n\s*")
 _closers = "\"'“”»«›‹’‘)\\]」』）】"
 #: A place where an event may stand: marks with what closes after them, then white space (none in CJK).
-_place = re.compile(rf"(?:[.!?…;؟۔।॥;]+[  ]?[!?]*[{_closers}]*(?=\s|$)|[。！？｡．…]+[{_closers}]*)")
-_thai = re.compile(r"[฀-๿]")
-_thai_space = re.compile(r"\s+")
-_greek = re.compile(r"[Ͱ-Ͽἀ-῿]{3}")
+_place = re.compile(rf"(?:[.!?…;؟۔।॥;]+[  ]?[!?]*[{_closers}]*(?=\s|$)|[。！？｡．…។៕။།።։]+[{_closers}]*)")
+#: Scripts that put spaces between phrases or sentences, not words: group and its letters.
+SPACED = {"th": "฀-๿", "lo": "຀-໿", "bo": "ༀ-࿿", "my": "က-႟", "km": "ក-៿"}
+_own_marks = "។៕။།"
+_phrase_end = re.compile(rf"\s+|(?<=[{_own_marks}])(?=[^\s{_own_marks}])")
 _cjk = re.compile(r"[぀-ヿ㐀-鿿]")
 _quote = re.compile(r"„[^“”„]*[“”]|«[^«»]*»|“[^“”„]*”|「[^「」]*」|『[^『』]*』|(?<![^\s(\[])\"(?=\S)[^\"]*\"|‚[^‘’‚]*[‘’]")
 _any_quote = re.compile(r"[„«“「『\"‚]")
 _goes_on = re.compile(r"\s*(?:[,;:，、；：،—–-]|と|って|という|\s[—–-])")
 _marker = re.compile(r"[^\S\n]*(?:(?P<b>[•‣▪●◦*·–—-])|(?P<n>\d{1,3})[.)]|\(?(?P<a>[a-zA-Z])[)])[^\S\n]+")
 _bullets = "•‣▪●◦*·"
-_GROUPS = ("de", "en", "fr", "es")
-_LISTS = (
-    "der die das den dem des und oder ist sind wird werden nicht mit von vom ein eine einer an wer was wann wie wo welche ich zu zur im in auf für bei nach vor muss darf wenn bleibt es",
-    "the is are was were and of by for to be been any a an that must not on in at with from what which who when how do i can if all",
-    "le la les l'on est sont des du de une un pour sur doit être par été a et dans que qui ne en après",
-    "el la los las es una un por para que en de del esté está no ha con se y quién según tras junto preguntó nadie deja",
-)
-#: Small words and what each says for a language: one that several languages have speaks for each in part.
-_SMALL = {
-    w: [(k, 1 / sum(w in other.split() for other in _LISTS)) for k, mine in enumerate(_LISTS) if w in mine.split()]
-    for ws in _LISTS
-    for w in ws.split()
+_letters = {
+    "el": "\u0370-\u03a8\u03aa-\u03bb\u03bd-\u03c5\u03c7-\u03ff\u1f00-\u1fff",
+    "cy": "\u0400-\u052f",
+    "ar": "\u0590-\u08ff",
+    "hi": "\u0900-\u0dff",
+    "cjk": "\u3040-\u9fff\uac00-\ud7af",
+    **SPACED,
+    "la": "A-Za-z\u00c0-\u024f",
 }
-_script = re.compile(
-    "(?P<el>[\u0370-\u03a8\u03aa-\u03bb\u03bd-\u03c5\u03c7-\u03ff\u1f00-\u1fff]{2,})|(?P<cy>[\u0400-\u052f]+)|(?P<ar>[\u0590-\u08ff]+)"
-    "|(?P<hi>[\u0900-\u0dff]+)|(?P<th>[\u0e00-\u0e7f]+)|(?P<cjk>[\u3040-\u9fff\uac00-\ud7af]+)|(?P<la>[A-Za-z\u00c0-\u024f]{2,})"
-)
+GROUPS = tuple(_letters)
+_script = re.compile("|".join(f"(?P<{k}>[{v}]{'{2,}' if k in ('el', 'la') else '+'})" for k, v in _letters.items()))
 #: Any letter that is not Latin: most texts have none and need no count of letters by script.
-_other_script = re.compile("[\u0370-\u052f\u0590-\u0dff\u0e00-\u0e7f\u1f00-\u1fff\u3040-\u9fff\uac00-\ud7af]")
-
-
-def small_words(text: str) -> list[float]:
-    """How much the small words of a text speak for each Latin group."""
-    votes = [0.0] * len(_GROUPS)
-    for w in text.lower().split():
-        found = _SMALL.get(w) or _SMALL.get(w.strip("«»¿?¡!.,;:\"„“()"))
-        if found:
-            for k, n in found:
-                votes[k] += n
-    return votes
+_other_script = re.compile("[" + "".join(v for k, v in _letters.items() if k != "la") + "]")
 
 
 def _group(paragraph: str) -> str:
-    """The group of languages that share a model: by script, Latin ones by their commonest small words.
-
-    All of the paragraph decides; of several scripts the one with most letters in it.
-    """
-    if not paragraph.isascii() and _other_script.search(paragraph):
-        letters = dict.fromkeys(("la",), 0)
-        for m in _script.finditer(paragraph):
-            letters[m.lastgroup] = letters.get(m.lastgroup, 0) + m.end() - m.start()
-        best = max(letters, key=letters.get)
-        if best != "la":
-            return best
-    votes = small_words(paragraph)
-    return _GROUPS[votes.index(max(votes))]
-
-
-group_of = _group
+    """The script with most letters in a paragraph; texts of one script share a model."""
+    if paragraph.isascii() or not _other_script.search(paragraph):
+        return "la"
+    letters = dict.fromkeys(("la",), 0)
+    for m in _script.finditer(paragraph):
+        letters[m.lastgroup] = letters.get(m.lastgroup, 0) + m.end() - m.start()
+    return max(letters, key=letters.get)
 
 
 def _mark(marks: str) -> str:
@@ -110,21 +100,19 @@ def _mark(marks: str) -> str:
         return "!"
     if any(c in marks for c in "?？؟;;"):
         return "?"
-    if any(c in marks for c in "。।॥۔｡"):
+    if any(c in marks for c in "。।॥۔｡។៕။།።։"):
         return "。"
     return "." if marks[0] == "." and not marks.startswith("..") else "…"
 
 
 def _word(word: str) -> str:
-    """The class of a word before a dot: itself where it is short and has no digits."""
-    word = word.lstrip("„“\"«‚'")
+    """The class of a word before a dot: itself unless it holds digits."""
+    word = word.lstrip("„“\"«‚'([")
     if word.isdigit():
         return "0."
     if not word:
         return "."
-    if not any(c.isdigit() for c in word) and (len(word) <= 6 or "." in word):
-        return word + "."
-    return "w."
+    return "w." if any(c.isdigit() for c in word) else word + "."
 
 
 class _Memo(dict):
@@ -143,13 +131,22 @@ class _Memo(dict):
 _marks, _words = _Memo(_mark), _Memo(_word)
 
 
-def left_of(text: str, start: int, end: int) -> str:
-    """The class of the word before a place: the word itself where it is short and ends in a dot."""
+def left_of(text: str, start: int, end: int) -> tuple[str, str]:
+    """The class of the mark at a place, or of the word where it is a dot, and of the word before that."""
     mark = _marks[text[start:end]]
     if mark != ".":
-        return mark
-    near = text[max(0, start - 24) : start]
-    return _words[near.rsplit(None, 1)[-1] if near and not near[-1].isspace() else ""]
+        return mark, ""
+    wide = 32
+    while True:
+        near = text[max(0, start - wide) : start]
+        parts = near.rsplit(None, 2)
+        if len(parts) > 2 or wide >= start:
+            break
+        wide *= 4
+    if not parts or near[-1].isspace():
+        return ".", ""
+    before = parts[-2] if len(parts) > 1 else "^"
+    return _words[parts[-1]], _words[before]
 
 
 def right_of(text: str, at: int) -> str:
@@ -171,8 +168,12 @@ def right_of(text: str, at: int) -> str:
     return "c" if c.isalpha() else "-" if c in "-–—" else "o"
 
 
-def _thai_side(c: str) -> str:
-    return "t" if "฀" <= c <= "๿" else "x" if c.isdigit() or c.isascii() and c.isalpha() else "o"
+def _side(c: str, group: str) -> str:
+    """The class of a character beside a space of a script that has them between phrases."""
+    if c in _own_marks:
+        return "。"
+    low, high = SPACED[group].split("-")
+    return "t" if low <= c <= high else "x" if c.isdigit() or c.isascii() and c.isalpha() else "o"
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -212,17 +213,23 @@ def _entries(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def places(text: str, start: int, end: int) -> tuple[str, list[tuple[int, str, str]]]:
-    """The group of a paragraph and its places (position after the mark, left class, right class).
+
+
+def places(text: str, start: int, end: int) -> tuple[str, list[tuple[int, str, str, str]]]:
+    """The group of a paragraph and its places (position after the mark, left class, word before, right class).
 
     A place with the right class ``$`` ends the paragraph. Places inside a quotation that goes on
     are left out.
     """
     part = text[start:end]
-    if not part.isascii() and _thai.search(part):
-        found = [(m.end(), "th:" + _thai_side(part[m.start() - 1]), _thai_side(part[m.end()])) for m in _thai_space.finditer(part) if m.end() < len(part)]
-        return "th", [*found, (len(part), "th:" + _thai_side(part[-1]), "$")]
-    group = ""
+    group = _group(part)
+    if group in SPACED:
+        # where the script's own marks are used, a space between letters is another thing
+        letter = "m" if any(c in part for c in _own_marks) else "t"
+        left = lambda c: letter if (k := _side(c, group)) == "t" else k
+        right = lambda c: "o" if (k := _side(c, group)) == "。" else k
+        found = [(m.end(), left(part[m.start() - 1]), "", right(part[m.end()])) for m in _phrase_end.finditer(part) if m.end() < len(part)]
+        return group, [*found, (len(part), left(part[-1]), "", "$")]
     skip: list[tuple[int, int]] = []
     if _any_quote.search(part):
         for m in _quote.finditer(part):
@@ -237,272 +244,445 @@ def places(text: str, start: int, end: int) -> tuple[str, list[tuple[int, str, s
         if s < floor or skip and any(a < e <= b and not (e == b == len(part)) for a, b in skip):
             continue
         if part[s] in ";;":
-            group = group or _group(part)
             if group != "el":
                 continue
         elif part[s] == "…" and e < len(part) and not part[e].isspace() and not _cjk.search(part[e]):
             continue
-        left = left_of(part, s, e)
-        found.append((e, left, right_of(part, e)))
+        left, before = left_of(part, s, e)
+        found.append((e, left, before, right_of(part, e)))
     return group, found
 
 
-def annotate(text: str) -> tuple[list[int], list[str]]:
-    """All that the model needs of a text: where a unit starts or might, and the key of each place.
+#: Classes of what follows a place; classes before one that are no words.
+KINDS = ("$", "U", "l", "0", "q", "c", "-", "o", "t", "x")
+_KIND_NO = {k: n for n, k in enumerate(KINDS)}
+_CLASSES = ("^", "!", "?", "…", "。", ".", "0.", "w.", "t", "x", "o", "m")
+#: Words before a mark, and pairs of words before one, that are told apart in each group.
+LEFTS, CONTEXTS = 1 << 17, 1 << 18
+_FIXED = {c: n for n, c in enumerate(_CLASSES)}
+_GROUP_NO = {g: n for n, g in enumerate(GROUPS)}
+
+
+def _code(key: tuple[str, str]) -> int:
+    """The cell of a left class in its group; the last bit tells long words."""
+    group, left = key
+    n = _FIXED.get(left)
+    if n is None:
+        n = len(_CLASSES) + xxhash.xxh3_64_intdigest(left) % (LEFTS - len(_CLASSES))
+    return (_GROUP_NO[group] * LEFTS + n) * 2 + bool(LONG.match(left))
+
+
+def _context(key: tuple[str, str, str]) -> int:
+    group, before, left = key
+    return _GROUP_NO[group] * CONTEXTS + xxhash.xxh3_64_intdigest(f"{before} {left}") % CONTEXTS
+
 
-    A key is ``group|left|right``. The left class ``^`` marks the start of a paragraph, which is certain;
-    the right class ``$`` its end, at position -1; a paragraph without places has only an empty key.
+_codes, _contexts = _Memo(_code), _Memo(_context)
+
+
+def annotate(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
+    """All that the model of marks needs of a text: where a unit starts or might, and of each place the cells
+    of what is on its left (alone, with the word before; -1: none) and the class of what follows.
+
+    The left class ``^`` marks the start of a paragraph, which is certain, the right class ``$`` its end, at
+    position -1; a paragraph without places has the cell -1.
     """
     at: list[int] = []
-    keys: list[str] = []
+    lefts: list[int] = []
+    contexts: list[int] = []
+    kinds: list[int] = []
     for start, end in paragraphs(text):
-        at.append(start)
         group, found = places(text, start, end)
+        at.append(start)
+        contexts.append(-1)
         if not found:
-            keys.append("")
+            lefts.append(-1)
+            kinds.append(0)
             continue
-        group = group or _group(text[start:end])
-        keys.append(f"{group}|^|{right_of(text, start) if group != 'th' else _thai_side(text[start])}")
-        for p, left, right in found:
+        lefts.append(_codes[group, "^"])
+        kinds.append(_KIND_NO[_side(text[start], group).replace("。", "o") if group in SPACED else right_of(text, start)])
+        for p, left, before, right in found:
             p += start
             while p < end and text[p].isspace():
                 p += 1
             at.append(p if right != "$" else -1)
-            keys.append(f"{group}|{left}|{right}")
-    return at, keys
-
+            lefts.append(_codes[group, left])
+            contexts.append(_contexts[group, before, left] if before else -1)
+            kinds.append(_KIND_NO[right])
+    return at, lefts, contexts, kinds
 
-def _parts(key: str) -> tuple[str, str, str]:
-    """Group, left and right class of a key; the left one may hold bars itself."""
-    group, rest = key.split("|", 1)
-    return group, *rest.rsplit("|", 1)
 
+class Notes:
+    """The annotations of a batch of texts, end to end."""
 
-class Boundaries:
-    """The fitted model: the probability of a boundary, by group, left and right class."""
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, lefts: np.ndarray, contexts: np.ndarray, kinds: np.ndarray):
+        self.sizes, self.at, self.lefts, self.contexts, self.kinds = sizes, at, lefts, contexts, kinds
+        self.starts = (lefts < 0) | (lefts // 2 % LEFTS == _FIXED["^"])
 
-    def __init__(self, odds: dict[str, float]):
-        self.odds = odds
+    @staticmethod
+    def of(columns: list) -> "Notes":
+        """From four columns of lists."""
+        flat = [np.concatenate([np.asarray(x, np.int64) for x in c]) if len(c) else np.zeros(0, np.int64) for c in columns]
+        return Notes(np.fromiter(map(len, columns[0]), np.int64, len(columns[0])), *flat)
 
-    def __reduce__(self):
-        return Boundaries, (self.odds,)
+    @staticmethod
+    def read(texts: list[str]) -> "Notes":
+        found = [annotate(t) for t in texts]
+        return Notes.of([[f[k] for f in found] for k in range(4)])
+
+    def where(self, words: Words) -> np.ndarray:
+        """The places in the texts laid end to end; -1 stays."""
+        return np.where(self.at >= 0, self.at + np.repeat(words.base, self.sizes), -1)
+
+
+class MarkCounts:
+    """How often each cell of a left class and each of a context stands before each class of what follows."""
+
+    def __init__(self):
+        self.held: list[dict[int, int]] = [{}, {}]
+        self.parts: list[list[np.ndarray]] = [[], []]
+        self.size = 0
+
+    def add(self, notes: Notes) -> None:
+        for k, cells in enumerate((notes.lefts, notes.contexts)):
+            there = cells >= 0
+            self.parts[k].append(cells[there] * len(KINDS) + notes.kinds[there])
+        self.size += len(notes.lefts)
+        if self.size > 1_000_000:
+            self._sum()
+
+    def _sum(self) -> None:
+        for k in range(2):
+            if self.parts[k]:
+                values, n = np.unique(np.concatenate(self.parts[k]), return_counts=True)
+                for v, c in zip(values.tolist(), n.tolist()):
+                    self.held[k][v] = self.held[k].get(v, 0) + c
+                self.parts[k] = []
+        self.size = 0
+
+    def rows(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        self._sum()
+        return [(np.fromiter(h.keys(), np.int64, len(h)), np.fromiter(h.values(), np.int64, len(h))) for h in self.held]
+
+
+def _matrix(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cells, and their counts by class of what follows."""
+    cells, row = np.unique(keys // len(KINDS), return_inverse=True)
+    out = np.zeros((len(cells), len(KINDS)))
+    np.add.at(out, (row, keys % len(KINDS)), n)
+    return cells, out
+
+
+class MarkModel:
+    """The fitted model of marks.
+
+    Expectation maximisation over the counted places, a group at a time. Hidden are the events inside
+    paragraphs. Seen are the ends of paragraphs: a word that ends sentences ends paragraphs at the rate at which
+    sentences do, a word that never does neither. What a word and the one before it say together starts from what
+    the word says alone.
+    """
 
-    def starts(self, text: str) -> list[int]:
-        """The first position of every sentence unit of ``text``."""
-        return self.decide(*annotate(text))
-
-    def decide(self, at: list[int], keys: list[str]) -> list[int]:
-        """The units among the annotated places: forward-backward over each chain of neighbours.
-
-        Two places nearer than ``NEAR`` characters depend on each other, for a unit that short has the
-        probability ``SHORT``. All others are independent given the words, so the chain falls apart.
-        """
-        out: list[int] = []
-        chain: list[int] = []
-        odds = [self.probability(k) for k in keys]
-        for k, (p, key) in enumerate(zip(at, keys)):
-            if p < 0:
-                continue
-            if chain and ("|^|" in key or not key or p - at[chain[-1]] >= NEAR):
-                out += self._chain([at[c] for c in chain], [odds[c] for c in chain])
-                chain = []
-            if "|^|" in key or not key:
-                out.append(p)
-            else:
-                chain.append(k)
-        return out + self._chain([at[c] for c in chain], [odds[c] for c in chain])
+    def __init__(self, lefts: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray]):
+        self.cells, counts = _matrix(*lefts)
+        self.context_cells, context_counts = _matrix(*contexts)
+        n, k = len(self.cells), len(KINDS)
+        #: Of each left class: weights of ``SHARES``; odds of each class behind it, without and with a boundary.
+        self.weights, self.none, self.some = np.tile(_PRIOR, (n, 1)), np.full((n, k), 0.1), np.zeros((n, k))
+        self.told = np.zeros((len(self.context_cells), len(SHARES)))
+        #: Of each group the same for words that were never met, short and long; groups never met have none.
+        self.form_weights = np.tile(_PRIOR, (len(GROUPS), 2, 1))
+        self.form_none, self.form_some = np.zeros((len(GROUPS), k)), np.zeros((len(GROUPS), k))
+        group, context_group = self.cells // 2 // LEFTS, self.context_cells // CONTEXTS
+        for g in np.unique(group).tolist():
+            self._fit(g, counts, context_counts, np.flatnonzero(group == g), np.flatnonzero(context_group == g))
+
+    def _fit(self, g: int, counts: np.ndarray, context_counts: np.ndarray, rows: np.ndarray, context_rows: np.ndarray) -> None:
+        spaced = GROUPS[g] in SPACED
+        kind = self.cells[rows] // 2 % LEFTS
+        first = kind == _FIXED["^"]
+        start = counts[rows[first]].sum(axis=0)
+        rows, kind = rows[~first], kind[~first]
+        seen = counts[rows]
+        ends, inner = seen[:, 0].copy(), seen.copy()
+        inner[:, 0] = 0
+        used = ((inner.sum(axis=0) + start) > 0) & (np.arange(len(KINDS)) > 0)
+        many, total = max(1, used.sum()), start.sum() + 1.0
+        given = np.where(used, (start + 0.001 * total / many) / (total * 1.001), 0)
+        able = used & ((given > 0.005) | (np.isin(KINDS, ("U", "q")) & (not spaced)))
+        able[_KIND_NO["l"]] = False
+        long = (self.cells[rows] & 1).astype(bool)
+        marks = np.isin(kind, [_FIXED[m] for m in MARKS])
+        sure = marks | long | np.isin(kind, [_FIXED["w."], _FIXED["t"]])
+        capital = inner[:, [_KIND_NO["U"], _KIND_NO["q"]]].sum(axis=1) >= 0.9 * inner.sum(axis=1)
+        # words of one form that were seen seldom are taken for what most words of that form are
+        form = np.where(kind >= len(_CLASSES), 1 + long, 0)
+        prior, heavy = np.tile(_PRIOR, (3, 1)), np.minimum(ends + inner.sum(axis=1), 20)
+        usual = np.where(used, 1.0 / many, 0)
+        rate, share, none = 0.25, np.full(len(rows), 0.9), usual * np.ones((len(rows), 1))
+        for _ in range(ROUNDS):
+            a = share[:, None] * (1 - rate) * given * able
+            b = (1 - share)[:, None] * none
+            yes = inner * np.divide(a, a + b, out=np.zeros_like(a), where=a + b > 0)
+            rate = min(0.7, max(0.02, (ends[sure].sum() + 1.0) / (ends[sure].sum() + yes[sure].sum() + 4.0)))
+            logs = self._likelihood(ends, inner[:, able].sum(axis=1), rate) + np.log(prior[form])
+            logs -= 70 * ((long & capital)[:, None] & (_SHARE < 0.5))
+            weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+            weights /= weights.sum(axis=1, keepdims=True)
+            share = weights @ _SHARE
+            rest = inner - yes
+            for f in (1, 2):
+                prior[f] = (heavy[form == f] @ weights[form == f] + 5 * _PRIOR) / (heavy[form == f].sum() + 5)
+            # what follows where no boundary is, is told by the words that have none
+            apart = rest * (1 - share)[:, None]
+            usual = np.where(used, (apart[form > 0].sum(axis=0) + 1.0 / many) / (apart[form > 0].sum() + 1.0), 0)
+            none = np.where(used, (apart + usual) / (apart.sum(axis=1, keepdims=True) + 1.0), 0)
+        self.weights[rows], self.none[rows], self.some[rows] = weights, none, (1 - rate) * given * able
+        self.form_weights[g], self.form_none[g], self.form_some[g] = prior[1:], usual, (1 - rate) * given * able
+        self.told[context_rows] = self._likelihood(context_counts[context_rows, 0], context_counts[context_rows][:, able].sum(axis=1), rate)
 
     @staticmethod
-    def _chain(at: list[int], emit: list[float]) -> list[int]:
-        if len(at) == 1:
-            return at if emit[0] > 0.5 else []
-        if not at:
-            return []
-        ahead = [(1 - emit[0], emit[0])]
-        for e in emit[1:]:
-            no, yes = ahead[-1]
-            ahead.append(((no + yes) * (1 - e), (no + yes * SHORT) * e))
-        back = [(1.0, 1.0)]
-        for e in emit[:0:-1]:
-            no, yes = back[-1]
-            back.append(((1 - e) * no + e * yes, (1 - e) * no + SHORT * e * yes))
-        found = []
-        for p, f, b in zip(at, ahead, reversed(back)):
-            no, yes = f[0] * b[0], f[1] * b[1]
-            if no + yes and yes / (no + yes) > 0.5:
-                found.append(p)
-        return found
-
-    def probability(self, key: str) -> float:
-        """Of a boundary; keys never met fall back to the class of the word, then to the right side."""
-        found = self.odds.get(key)
-        if found is None and key:
-            group, left, right = _parts(key)
-            if left.endswith(".") and left not in ("0.", "w."):
-                found = self.odds.get(f"{group}|w.|{right}")
-            if found is None:
-                found = 0.02 if right == "l" else 0.9
-            if len(self.odds) < 500_000:
-                self.odds[key] = found
-        return found or 0.0
-
-
-#: Characters between two places below which they are one chain, and the probability of a unit so short.
+    def _likelihood(ends: np.ndarray, inner: np.ndarray, rate: float) -> np.ndarray:
+        """log of the likelihood of each share in ``SHARES``, given how often a word ends a paragraph."""
+        return ends[:, None] * np.log(_SHARE * rate) + inner[:, None] * np.log(1 - _SHARE * rate)
+
+    def probability(self, lefts: np.ndarray, contexts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Of a boundary at each place; words never met are taken for usual ones of their form, other classes fall
+        back to what follows."""
+        left = lefts // 2 % LEFTS
+        out = np.where(np.isin(kinds, [_KIND_NO["l"], _KIND_NO["x"]]) | (left == _FIXED["x"]) | (left == _FIXED["m"]), 0.02, 0.9)
+        if not len(self.cells) or not len(lefts):
+            return out
+        group = lefts // 2 // LEFTS
+        usual = self.form_weights[group, lefts & 1] @ _SHARE
+        a, b = usual * self.form_some[group, kinds], (1 - usual) * self.form_none[group, kinds]
+        out = np.where((left >= len(_CLASSES)) & (a + b > 0), np.divide(a, a + b, out=np.zeros(len(a)), where=a + b > 0), out)
+        at = np.minimum(np.searchsorted(self.cells, lefts), len(self.cells) - 1)
+        known = self.cells[at] == lefts
+        logs = np.log(self.weights[at] + 1e-300)
+        if len(self.context_cells):
+            c = np.minimum(np.searchsorted(self.context_cells, contexts), len(self.context_cells) - 1)
+            both = (self.context_cells[c] == contexts) & known & (contexts >= 0)
+            logs[both] = np.log(TRUST * self.weights[at[both]] + (1 - TRUST) * _PRIOR) + self.told[c[both]]
+        weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+        share = (weights @ _SHARE) / weights.sum(axis=1)
+        a, b = share * self.some[at, kinds], (1 - share) * self.none[at, kinds]
+        found = np.divide(a, a + b, out=np.zeros(len(a)), where=a + b > 0)
+        return np.where(known, found, out)
+
+
+#: Characters of a unit below which it is unlikely, and the probability of one so short.
 NEAR, SHORT = 5, 0.02
+#: Probability below which a boundary without a mark is out of the question.
+NEVER = 1e-6
+
+
+class Boundaries:
+    """The fitted models: of marks, and of words where there is none."""
 
+    def __init__(self, marks: MarkModel, words: WordModel):
+        self.marks, self.words = marks, words
+        #: Events decided, and those whose decision depended on another.
+        self.events = self.linked = 0
 
-def annotated(df: DataFrame, key: str, text: str, keep: bool = False) -> DataFrame:
-    """(id, at, keys): every text annotated; with ``keep`` the text too."""
+    def starts(self, text: str) -> list[int]:
+        """The first position of every sentence unit of ``text``."""
+        return self.all_starts([text])[0]
+
+    def all_starts(self, texts: list[str]) -> list[list[int]]:
+        return self.decide(texts, Notes.read(texts))
+
+    def decide(self, texts: list[str], notes: Notes) -> list[list[int]]:
+        """The units of annotated texts: forward-backward over the events of each paragraph."""
+        words = Words(texts)
+        at = notes.where(words)
+        heads = at[notes.starts]
+        place = ~notes.starts & (at >= 0)
+        p = at[place]
+        yes = self.marks.probability(notes.lefts[place], notes.contexts[place], notes.kinds[place])
+        # a row an event: position, gap (-1: of none), weights (boundary before? x boundary here?)
+        weights = np.empty((len(p), 2, 2))
+        weights[:, :, 0], weights[:, :, 1] = (1 - yes)[:, None], yes[:, None]
+        gap = np.full(len(p), -1)
+        bare, bare_at, bare_weights = self._bare(words, heads, p, notes.lefts[notes.starts] < 0)
+        position = np.concatenate([p, bare_at])
+        order = np.argsort(position, kind="stable")
+        position, gap = position[order], np.concatenate([gap, bare])[order]
+        weights = np.concatenate([weights, bare_weights])[order]
+        keep = self._forward_backward(position, gap, weights, np.searchsorted(heads, position, "right"))
+        found = np.concatenate([heads, position[keep]])
+        found.sort()
+        cuts = np.searchsorted(found, words.base)
+        return [(found[a:b] - base).tolist() for a, b, base in zip(cuts, [*cuts[1:], len(found)], words.base)]
+
+    def _bare(self, words: Words, heads: np.ndarray, places: np.ndarray, unmarked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gaps without a mark where a boundary is not out of the question: number, place and weights."""
+        free = words.gaps(heads)[1]
+        gap = np.flatnonzero(free)
+        if not len(gap):
+            return gap, gap, np.zeros((0, 2, 2))
+        # the event behind a mark is that of its place, so its gap has no other
+        taken = np.searchsorted(words.starts, places) - 1
+        h, left, model = words.hashed, words.left, self.words
+        alone = unmarked[np.searchsorted(heads, words.starts[gap], "right") - 1]
+        style = np.where(alone, 1.0, model.bare_rate)
+        a, b = left[gap], h[gap + 1]
+        some = model.end(a) * model.start(b) * style
+        # even if the pair was only ever seen with what is around it here
+        least = np.minimum(model.follow(START + np.zeros(len(gap), np.uint64), a, b), model.follow(np.where(gap > 0, left[gap - 1], START), a, b))
+        able = (some > NEVER * least) & ~np.isin(gap, taken)
+        gap, a, b, some = gap[able], a[able], b[able], some[able]
+        if not len(gap):
+            return gap, gap, np.zeros((0, 2, 2))
+        inside = np.concatenate([[False], words.gaps(heads)[0]])
+        start = np.full(len(gap), START)
+        # behind a mark the event is that of its place, which this one says nothing of
+        before = np.where(inside[gap] & np.concatenate([[False], free])[gap], left[gap - 1], START)
+        weights = np.empty((len(gap), 2, 2))
+        weights[:, 0, 0], weights[:, 1, 0] = model.follow(before, a, b), model.follow(start, a, b)
+        weights[:, 0, 1] = weights[:, 1, 1] = some
+        # the word after the next has another history behind a boundary; where its gap is an event of its own, that one says so
+        own = np.zeros(len(h) + 1, bool)
+        own[gap] = True
+        more = np.concatenate([free, [False]])[gap + 1] & ~own[gap + 1]
+        m = np.flatnonzero(more)
+        c = h[gap[m] + 2]
+        weights[m, :, 1] *= (model.follow(start[m], left[gap[m] + 1], c) / model.follow(a[m], left[gap[m] + 1], c))[:, None]
+        return gap, words.place(gap), weights
+
+    def _forward_backward(self, position: np.ndarray, gap: np.ndarray, weights: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
+        """Which events are boundaries, by their posteriors."""
+        n = len(position)
+        self.events += n
+        if not n:
+            return np.zeros(0, bool)
+        same = paragraph[1:] == paragraph[:-1]
+        near = same & (position[1:] - position[:-1] < NEAR)
+        weights[1:, 1, 1][near] *= SHORT
+        linked = np.concatenate([[False], near | (same & (gap[1:] == gap[:-1] + 1) & (gap[:-1] >= 0))])
+        keep = weights[:, 0, 1] > weights[:, 0, 0]
+        link = np.flatnonzero(linked)
+        self.linked += len(link)
+        if not len(link):
+            return keep
+        # chains of two events and more, one after the other
+        first = np.flatnonzero(linked & ~np.concatenate([[False], linked[:-1]])) - 1
+        last = np.flatnonzero(linked & ~np.concatenate([linked[1:], [False]]))
+        for a, b in zip(first.tolist(), last.tolist()):
+            ahead = [weights[a, 0]]
+            for m in weights[a + 1 : b + 1]:
+                f = ahead[-1] @ m
+                ahead.append(f / (f.sum() or 1.0))
+            back = np.ones(2)
+            for k in range(b, a - 1, -1):
+                both = ahead[k - a] * back
+                keep[k] = both[1] > both[0]
+                back = weights[k] @ back
+                back = back / (back.sum() or 1.0)
+        return keep
+
+
+#: Annotations of a text (id and the four lists), or the counts of a task (table and cells).
+_NOTES = "at array<int>, lefts array<int>, contexts array<int>, kinds array<int>, text string, part string, cells array<int>, counts array<long>"
+
+
+def annotated(df: DataFrame, key: str, text: str, keep: bool = True) -> DataFrame:
+    """(id, at, lefts, contexts, kinds, text): every text annotated; and (part, cells, counts): what the tasks counted.
+
+    ``keep=False``: the counts alone.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks, counts = MarkCounts(), Counts()
         for pdf in batches:
-            for k in range(0, len(pdf), 500):
-                part = pdf.iloc[k : k + 500]
-                found = [annotate(t) for t in part["text"].tolist()]
-                out = pd.DataFrame({"id": part["id"], "at": [a for a, _ in found], "keys": [b for _, b in found]})
-                yield out.assign(text=part["text"]) if keep else out
+            for k in range(0, len(pdf), 250):
+                part = pdf.iloc[k : k + 250]
+                texts = part["text"].tolist()
+                found = [annotate(t) for t in texts]
+                notes = Notes.of([[f[j] for f in found] for j in range(4)])
+                words = Words(texts)
+                at = notes.where(words)
+                marks.add(notes)
+                counts.add(words, at[notes.starts])
+                _count_styles(counts, notes)
+                if keep:
+                    yield pd.DataFrame({"id": part["id"], **{name: [f[j] for f in found] for j, name in enumerate(("at", "lefts", "contexts", "kinds"))}, "text": texts, "part": None, "cells": None, "counts": None})
+        rows = dict(zip(("lefts", "contexts"), marks.rows()))
+        rows |= {name: (np.flatnonzero(t), t[t > 0]) for name, t in counts.tables.items()}
+        rows["styles"] = np.arange(2), np.array([counts.marked, counts.bare])
+        empty = dict.fromkeys(("id", "at", "lefts", "contexts", "kinds", "text"))
+        yield pd.DataFrame([{**empty, "part": name, "cells": cells, "counts": n} for name, (cells, n) in rows.items()])
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    return rows.mapInPandas(read, f"id {rows.schema['id'].dataType.simpleString()}, at array<int>, keys array<string>" + ", text string" * keep)
+    return rows.mapInPandas(read, f"id {rows.schema['id'].dataType.simpleString()}, {_NOTES}")
 
 
-def fit_annotated(notes: DataFrame) -> Boundaries:
-    """Train the model on annotated texts, all of them."""
-    counted = notes.select(F.explode("keys").alias("key")).where("key <> ''").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    got = counted.orderBy(F.desc("n"), "key").limit(CAPACITY + 1).collect()
-    return Boundaries(_maximise({_parts(r["key"]): r["n"] for r in got} if len(got) <= CAPACITY else _folded(counted)))
-
+def _count_styles(counts: Counts, notes: Notes) -> None:
+    """Paragraphs that have a place before their end, and those of them that end without one."""
+    heads = np.flatnonzero(notes.starts)
+    if not len(heads):
+        return
+    inner = np.add.reduceat(~notes.starts & (notes.at >= 0), heads)
+    ended = np.add.reduceat(~notes.starts & (notes.at < 0), heads)
+    counts.marked += int(inner.sum() + ended.sum())
+    counts.bare += int(((inner > 0) & (ended == 0)).sum())
 
-def _folded(counted: DataFrame) -> dict[tuple[str, str, str], int]:
-    """The counts with the rarest left words under their class ``w.``: every count is in them.
 
-    A word is kept with all its right classes or with none, or its ends of paragraphs would be missing.
-    """
-    key = F.col("key")
-    split = counted.select(
-        F.substring_index(key, "|", 1).alias("group"), F.regexp_extract(key, r"(?s)\A[^|]*\|(.*)\|[^|]*\z", 1).alias("left"), F.substring_index(key, "|", -1).alias("right"), "n"
-    )
-    word = F.col("left").endswith(".") & ~F.col("left").isin(".", "0.", "w.")
-    # classes are few, and so are the sums of all words by group and right class
-    out = {(r["group"], r["left"], r["right"]): r["n"] for r in split.where(~word).collect()}
-    rest = {(r["group"], "w.", r["right"]): r["n"] for r in split.where(word).groupBy("group", "right").agg(F.sum("n").alias("n")).collect()}
-    words = split.where(word).groupBy("group", "left").agg(F.collect_list(F.struct("right", "n")).alias("own"), F.sum("n").alias("n"))
-    room = CAPACITY - len(out)
-    for r in words.orderBy(F.desc("n"), "group", "left").limit(CAPACITY).collect():
-        room -= len(r["own"])
-        if room < 0:
-            break
-        for right, n in r["own"]:
-            out[r["group"], r["left"], right] = n
-            rest[r["group"], "w.", right] -= n
-    for k, n in rest.items():
-        if n:
-            out[k] = out.get(k, 0) + n
-    return out
+def fit_annotated(notes: DataFrame) -> Boundaries:
+    """Train the models on what the tasks counted of all texts; what is collected is bounded by the cells of the tables."""
+    counted = notes.where("part is not null").select("part", F.explode(F.arrays_zip("cells", "counts")).alias("c"))
+    summed = counted.groupBy("part", F.col("c.cells").alias("cell")).agg(F.sum("c.counts").alias("n"))
+    pdf = summed.toArrow().to_pandas()
+    found = {name: (part["cell"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for name, part in pdf.groupby("part")}
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tables = {}
+    for name, size in TABLES.items():
+        tables[name] = np.zeros(size)
+        cells, n = found.get(name, nothing)
+        tables[name][cells] = n
+    styles = dict(zip(*(x.tolist() for x in found.get("styles", nothing))))
+    return Boundaries(MarkModel(found.get("lefts", nothing), found.get("contexts", nothing)), WordModel(tables, styles.get(0, 0), styles.get(1, 0)))
 
 
 def fit_boundaries(df: DataFrame, text: str) -> Boundaries:
-    """Train the model on every text of a column."""
-    return fit_annotated(annotated(df.select(F.lit(0).alias("id"), F.col(text).alias("text")), "id", "text"))
-
-
-def _likelihood(ends: float, places: float, rate: float) -> list[float]:
-    """log of prior times likelihood of each share in ``SHARES``, given how often a word ends a paragraph."""
-    return [
-        math.log(prior) + ends * math.log(share * rate) + max(0.0, places - ends) * math.log(1 - share * rate)
-        for share, prior in SHARES
-    ]
+    """Train the models on every text of a column."""
+    return fit_annotated(annotated(df.select(F.lit(0).alias("id"), F.col(text).alias("text")), "id", "text", keep=False))
 
 
-def _maximise(counts: dict[tuple[str, str, str], int]) -> dict[str, float]:
-    """Expectation maximisation over the counted places, a group at a time.
-
-    Hidden are the events inside paragraphs. Seen are the ends of paragraphs: a word that ends
-    sentences ends paragraphs at the rate at which sentences do, a word that never does neither.
-    """
-    out: dict[str, float] = {}
-    for group in {g for g, _, _ in counts}:
-        own = {(left, right): n for (g, left, right), n in counts.items() if g == group}
-        starts = {r: n for (left, r), n in own.items() if left == "^"}
-        total = sum(starts.values()) + 1.0
-        kinds = sorted({r for _, r in own} - {"$"})
-        lefts = sorted({left for left, _ in own} - {"^"})
-        given_s = {r: (starts.get(r, 0) + 0.001 * total / len(kinds)) / (total * 1.001) for r in kinds}
-        can = [r for r in kinds if (given_s[r] > 0.005 or group != "th" and r in "Uq") and r != "l"]
-        seen = {left: {r: own.get((left, r), 0) for r in kinds} for left in lefts}
-        ends = {left: own.get((left, "$"), 0) for left in lefts}
-        sizes = {left: sum(seen[left].values()) + ends[left] for left in lefts}
-        sure = [left for left in lefts if left in MARKS or left in ("w.", "th:t")]
-        rate, share, given_n = 0.25, {}, {}
-        for _ in range(ROUNDS):
-            # expectation: how many places of each word are boundaries
-            yes: dict[str, dict[str, float]] = {}
-            for left in lefts:
-                p = share.get(left, 0.9)
-                yes[left] = {}
-                for r, n in seen[left].items():
-                    a = p * (1 - rate) * given_s[r] * (r in can)
-                    b = (1 - p) * given_n.get(left, {}).get(r, 1.0 / len(kinds))
-                    yes[left][r] = n * a / (a + b) if a + b else 0.0
-            # maximisation: the rate of ends from the words that are sure, the share of every word from its ends
-            inner, last = sum(sum(yes[left].values()) for left in sure), sum(ends[left] for left in sure)
-            rate = min(0.7, max(0.02, (last + 1.0) / (last + inner + 4.0)))
-            for left in lefts:
-                if left in MARKS or left == "th:t":
-                    share[left] = 0.999
-                else:
-                    places = ends[left] + sum(n for r, n in seen[left].items() if r in can)
-                    logs = _likelihood(ends[left], places, rate)
-                    if LONG.match(left) and seen[left].get("U", 0) + seen[left].get("q", 0) >= 0.9 * (sizes[left] - ends[left]):
-                        logs = [x - 70 * (s < 0.5) for x, (s, _) in zip(logs, SHARES)]
-                    weights = [math.exp(x - max(logs)) for x in logs]
-                    share[left] = sum(w * s for w, (s, _) in zip(weights, SHARES)) / sum(weights)
-                none = {r: n - yes[left][r] for r, n in seen[left].items()}
-                size = sum(none.values()) + 1.0
-                given_n[left] = {r: (none[r] + 1.0 / len(kinds)) / size for r in kinds}
-        for left in lefts:
-            for r in kinds:
-                a, b = share[left] * (1 - rate) * given_s[r] * (r in can), (1 - share[left]) * given_n[left][r]
-                if seen[left][r]:
-                    out[f"{group}|{left}|{r}"] = a / (a + b) if a + b else 0.0
-    return out
-
-
-def sentence_units(df: DataFrame, key: str, text: str, model: Boundaries | None = None) -> DataFrame:
-    """(key, unit_no, start_char, unit): the sentence units of every text, in order."""
-    notes = annotated(df, key, text, keep=True)
-    if model is None:
-        notes = cut(notes, "notes")
-        model = fit_annotated(notes)
+def _decided(df: DataFrame, key: str, text: str, model: Boundaries | None, units: bool) -> DataFrame:
+    notes = cut(annotated(df, key, text), "notes") if model is None else annotated(df, key, text)
+    model = model or fit_annotated(notes)
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                found = [model.decide(a.tolist(), k.tolist()) for a, k in zip(part["at"], part["keys"])]
+            for at in range(0, len(pdf), 250):
+                part = pdf.iloc[at : at + 250]
+                texts = part["text"].tolist()
+                found = sent.value.decide(texts, Notes.of([part[c].tolist() for c in ("at", "lefts", "contexts", "kinds")]))
                 n = [len(f) for f in found]
-                units = [t[a:b].strip() for t, f in zip(part["text"], found) for a, b in zip(f, [*f[1:], len(t)])]
-                numbers = [k for f in found for k in range(len(f))]
-                if not units:
+                if not any(n):
                     continue  # frames without rows have no Arrow type for strings
-                yield pd.DataFrame({"id": part["id"].repeat(n).to_numpy(), "unit_no": numbers, "start_char": [p for f in found for p in f], "unit": units})
+                out = pd.DataFrame({"id": part["id"].repeat(n).to_numpy(), "start_char": [p for f in found for p in f]})
+                if units:
+                    out["unit_no"] = [k for f in found for k in range(len(f))]
+                    out["unit"] = [t[a:b].strip() for t, f in zip(texts, found) for a, b in zip(f, [*f[1:], len(t)])]
+                    out = out[["id", "unit_no", "start_char", "unit"]]
+                yield out
 
-    return notes.mapInPandas(split, f"id {notes.schema['id'].dataType.simpleString()}, unit_no int, start_char int, unit string").withColumnRenamed("id", key)
+    kind = notes.schema["id"].dataType.simpleString()
+    rows = notes.where("part is null").select("id", "at", "lefts", "contexts", "kinds", "text")
+    return rows.mapInPandas(split, f"id {kind}, " + ("unit_no int, start_char int, unit string" if units else "start_char int")).withColumnRenamed("id", key)
 
 
-def sentence_starts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start_char): where each unit starts.
+def sentence_units(df: DataFrame, key: str, text: str, model: Boundaries | None = None) -> DataFrame:
+    """(key, unit_no, start_char, unit): the sentence units of every text, in order."""
+    return _decided(df, key, text, model, True)
 
-    Texts are read once: their annotations, a small part of their size, are written to the shared
-    folder; the model is trained on them and decides them.
-    """
-    notes = cut(annotated(df, key, text), "notes")
-    model = fit_annotated(notes)
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [model.decide(a.tolist(), k.tolist()) for a, k in zip(pdf["at"], pdf["keys"])]
-            if any(found):
-                yield pd.DataFrame({"id": pdf["id"].repeat([len(f) for f in found]).to_numpy(), "start_char": [p for f in found for p in f]})
+def sentence_starts(df: DataFrame, key: str, text: str, model: Boundaries | None = None) -> DataFrame:
+    """(key, start_char): where each unit starts.
 
-    return notes.mapInPandas(decide, f"id {notes.schema['id'].dataType.simpleString()}, start_char int").withColumnRenamed("id", key)
+    Texts are read once: they and their annotations are written to the shared folder; the models are trained
+    on what was counted while they were read, and decide.
+    """
+    return _decided(df, key, text, model, False)
