@@ -64,6 +64,11 @@ def check(spark, texts, limit=1500, overlap=150):
             assert piece.endswith(core) and len(piece) <= max(limit, 0) or len(text) <= limit
             extra = len(piece) - len(core)
             assert text[start - extra : end] == piece and extra <= overlap and (no or not extra)
+            if no and extra < overlap and extra:  # less than asked for: back to a natural boundary, or all of the piece before
+                assert re.search(r"(\n|[.!?]\s+)\Z", text[: start - extra]) or start - extra == got[no - 1][1]
+        if len(text) > limit:
+            at = [0, *sorted({m.end() for m in re.finditer(r"[.!?]\s+|\n", text)} | {m.end() for m in re.finditer("\n", text)}), len(text)]
+            assert got[0][3] == ("forced" if any(b - a > limit for a, b in zip(at, at[1:])) else "natural"), (i, got[0][3])
         assert "".join(text[s:e] for (_, s, _, _), e in zip(got, ends)) == text
     return by
 
@@ -83,6 +88,17 @@ def test_pieces_with_long_white_space(spark):
     check(spark, texts)
     check(spark, [t.replace("b" * 1340, "b") for t in texts], 1500, 0)
     check(spark, ["ab." + " " * n + "cd\n" + "\u3000" * n + "\nef" for n in range(40)], 20, 5)
+    rng = random.Random(5)
+    mixed = ["".join(rng.choice(("Wort ", "ein Satz.", "! ", "\n", "x" * rng.randint(1, 1400))) + rng.choice((" ", "\n", "\u2003")) * rng.choice((0, 0, 1, 3, 149, 200, 1600, 5000)) for _ in range(12)) for _ in range(60)]
+    check(spark, mixed)
+
+
+def test_overlap_in_front_of_a_wide_piece(spark):
+    """A sentence that leaves less than the overlap repeats what follows a boundary in that room, or nothing."""
+    long = "y" * 1470 + ". "
+    a, b = "x" * 1200 + ". " + "kurz. " + long, "x" * 1200 + ". " + "z" * 100 + ". " + long
+    by = check(spark, [a, b])
+    assert by[0][1][2] == "kurz. " + long and by[1][1][2] == long
 
 
 @settings(max_examples=8, deadline=None)
