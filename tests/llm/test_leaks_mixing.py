@@ -80,6 +80,7 @@ def test_mix(spark):
     report = {r["source"]: r for r in mix.report().collect()}
     assert report["klein"]["short"] and report["leer"]["short"] and not report["gross"]["short"]
     assert report["klein"]["drawn_tokens"] == 3 * report["klein"]["tokens"] and report["leer"]["tokens"] == 0
+    assert report["klein"]["empty_slots"] > 0 and report["leer"]["empty_slots"] > 0 and report["gross"]["empty_slots"] == 0
     drawn = mix.drawn()
     # no part of a document more often than allowed, and parts of a document tile it
     most = {r["source"]: r["n"] for r in drawn.groupBy("source", "block", "doc", "from_token").count().groupBy("source").agg(F.max("count").alias("n")).collect()}
@@ -96,18 +97,51 @@ def test_shortfall_comes_from_the_draw(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     mix = lambda share: M.Mix(df, "doc_id", "text", "source", spark.createDataFrame([("gross", 1 - share, 2), ("klein", share, 3)], "source string, target_share double, max_repeats int"), block=32)
     short = lambda m: {r["source"] for r in m.report().where("short").select("source").collect()}
-    plan = mix(0.4).report().where("short").select("source")._jdf.queryExecution().optimizedPlan().toString()
-    assert "MapInPandas" in plan and "Window" in plan  # slots and packing
-    # at the limit too, whatever number of slots was drawn by chance
     own = mix(0.4)
-    limit = 3 * own.tokens["klein"] / own.total
-    assert short(mix(limit * 1.001)) == {"klein"} and short(mix(limit * 0.999)) == set()
-    # a draw that took blocks more often than it may would have reached the target
-    assert short(own) == {"klein"}
-    own.counts = [(0, "klein", 0, own.blocks["klein"] * 100)]
+    plan = own.slot_table().where("block is null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan  # the permutations
+    # at the limit too, whatever number of slots was drawn by chance
+    row = {r["source"]: r for r in own.totals.collect()}["klein"]
+    limit = 3 * row["tokens"] / own.total
+    assert short(mix(limit * 1.01)) == {"klein"} and short(mix(limit * 0.99)) == set()
+    # slots that its turns can fill leave none empty: with more turns nothing is short
+    more = own.held.withColumn("max_repeats", F.lit(100))
+    own.held = more
     assert short(own) == set()
 
 
+def test_many_sources_buckets_and_shards(spark, monkeypatch):
+    """Beyond every former bound: more sources than one draw holds, small buckets and shards."""
+    monkeypatch.setattr(M, "SHARD_BLOCKS", 16)
+    monkeypatch.setattr(M, "SHARD_GROUP", 4)
+    monkeypatch.setattr(M, "GROUP_SOURCES", 50)
+    monkeypatch.setattr(M, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 10)
+    docs = [(i, "ein wort und noch eins mehr " * (1 + i % 5), f"q{i % 300}") for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(f"q{i}", 1.0, 2) for i in range(300)] + [("keine", 1.0, 3)], "source string, target_share double, max_repeats int")
+    mix = M.Mix(df, "doc_id", "text", "source", targets, block=8)
+    assert mix.sources == 301 and mix.shards > 30
+    counts = mix.counts.orderBy("source", "shard").collect()
+    ends = {}
+    for r in counts:  # the slots of a source follow each other through all shards
+        assert r["first"] == ends.get(r["source"], 0)
+        ends[r["source"]] = r["first"] + r["n"]
+    report = {r["source"]: r for r in mix.report().collect()}
+    assert len(report) == 301 and report["keine"]["short"] and report["keine"]["repeats"] == 0
+    for r in report.values():  # what is short has been used up, what is not has its share
+        assert r["drawn_tokens"] == r["tokens"] * r["max_repeats"] if r["short"] else r["drawn_tokens"] >= r["target_tokens"]
+        assert r["short"] == (r["tokens"] * r["max_repeats"] < r["target_tokens"])
+    assert mix.drawn().groupBy("source", "block", "doc", "from_token").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_targets_with_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(1, "ein wort", "a"), (2, "ein wort", None), (3, "wort", "b")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("a", 0.3, 3), (None, 0.2, 2), ("b", None, None), ("c", -1.0, 1)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in M.Mix(df, "doc_id", "text", "source", targets).report().collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"]["max_repeats"] == 3 and got["a"]["actual_share"] == 1.0 and not got["b"]["short"]
+
+
 def test_shares_are_reached(spark):
     docs = [(i, "ein wort und noch eins mehr " * 20, f"q{i % 4}") for i in range(800)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
