@@ -42,9 +42,11 @@ def brute(docs, items, n):
     return out
 
 
-@pytest.mark.parametrize("block", [20_000, 2])
-def test_leaks_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,many,at_once", [(20_000, 16, 1 << 17), (2, 16, 3), (3, 2, 1 << 17)])
+def test_leaks_equal_brute_force(spark, monkeypatch, block, many, at_once):
     monkeypatch.setattr(L, "ITEMS", block)
+    monkeypatch.setattr(L, "PASS", many)
+    monkeypatch.setattr(L, "SLICE", at_once)
     rng = random.Random(4)
     word = lambda: rng.choice("abcdefghij") * rng.randint(1, 2)
     items = [(i, " ".join(word() for _ in range(rng.randint(1, 12)))) for i in range(8)] + [(8, ""), (9, None), (10, "...")]
@@ -63,9 +65,23 @@ def test_leaks_equal_brute_force(spark, monkeypatch, block):
     clean = L.without_leaks(df, "doc_id", got)
     assert clean.count() == len(docs) - got.select("document").distinct().count()
     assert L.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
+    named = L.leaks(df, "doc_id", "text", it.withColumn("item_id", F.concat(F.lit("i"), "item_id")), "item_id", "text", n=5)
+    assert named.count() == got.count() and named.schema["item"].dataType.simpleString() == "string"
     assert L.leaks(df.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
 
 
+def test_runs_of_any_length():
+    """Matches of more words than the array was first sorted by: few words, so many suffixes agree for long."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(30, 120))) for _ in range(40)]
+    items = [" ".join(t.split()[5:45]) for t in texts[::3]]
+    hashes = L.Hashes()
+    parts = [hashes.array(L.leak_words(t)) for t in texts]
+    for n in (12, 17, 24, 33):
+        found = L.Shard(np.concatenate(parts), np.array([len(p) for p in parts]), n).matches(L.Items(list(range(len(items))), items))
+        assert {(d, i): w for d, i, w in zip(found["document"], found["item"], found["words"])} == brute(list(enumerate(texts)), list(enumerate(items)), n)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 64, 1000])
 def test_permutation(size):
     assert sorted(M.permuted(np.arange(size), size, 5).tolist()) == list(range(size))
