@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from regelspur.llm import neardup as N
 from regelspur.llm.words import words_of
 
@@ -41,6 +43,51 @@ def test_pairs_equal_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == brute(rows, threshold, n)
 
 
+def test_shape():
+    assert N.shape(0.6) == (21, 3, 33)
+    for k in range(10, 101):
+        blocks, width, far = N.shape(k / 100)
+        assert blocks <= N.MOST_BLOCKS and (1 - (k / 100) ** width) ** blocks <= N.MISSED and far <= 64
+    with pytest.raises(ValueError):
+        N.shape(0.05)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.35, 0.5])
+def test_recall_of_low_thresholds(spark, threshold):
+    """Pairs near the threshold; with ``exact`` none is missing."""
+    rng = random.Random(8)
+    base = [[f"w{i}x{k}" for k in range(60)] for i in range(150)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for i, b in enumerate(base):
+        keep = 60 - rng.randint(0, 35)
+        rows.append((1000 + i, " ".join(b[:keep] + [f"v{i}y{k}" for k in range(60 - keep)])))
+    df = spark.createDataFrame(rows, "id int, text string")
+    want = brute(rows, threshold, 3)
+    got = {tuple(r) for r in N.similar_pairs(df, "id", "text", threshold, 3).collect()}
+    assert len(want) > 60 and got <= want and len(got) >= 0.97 * len(want)
+    assert {tuple(r) for r in N.similar_pairs(df, "id", "text", threshold, 3, exact=True).collect()} == want
+
+
+def test_recall_on_the_table(spark):
+    """Against the exact join, on all chunks of a test table."""
+    chunks = spark.read.parquet("/root/testdata/sf0.01/chunks.parquet")
+    got = {tuple(r) for r in N.similar_classes(chunks, "position", "text", 0.6, 3)[1].select("a", "b").collect()}
+    want = {tuple(r) for r in N.similar_classes(chunks, "position", "text", 0.6, 3, exact=True)[1].select("a", "b").collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) > 100
+
+
+def test_hot_block_and_hot_class_are_split(spark, monkeypatch):
+    """One template with many variants, and copies of one: the same pairs whatever the parts."""
+    monkeypatch.setattr(N, "HOT", 7)
+    monkeypatch.setattr(N, "HOT_MEMBERS", 4)
+    monkeypatch.setattr(N, "COPIES", 20)
+    template = [f"wort{i}" for i in range(60)]
+    rows = [(i, " ".join([*template, f"ende{i}"])) for i in range(60)] + [(100 + i, " ".join(template)) for i in range(30)]
+    rows += [(200 + i, " ".join(f"eigen{i}x{k}" for k in range(20))) for i in range(50)]
+    got = [tuple(r) for r in N.similar_pairs(spark.createDataFrame(rows, "id int, text string"), "id", "text", 0.6, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.6, 3)
+
+
 def test_groups(spark):
     a, b = "eins zwei drei vier fünf sechs sieben acht", "ganz andere wörter stehen hier im text heute"
     rows = [(1, a), (2, a), (3, a + " neun"), (4, b), (5, None), (6, "kurz")]
