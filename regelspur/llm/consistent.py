@@ -19,6 +19,7 @@ Nulls stay null, empty texts stay empty, other columns pass through untouched.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -54,8 +55,6 @@ SYMBOLS = "ΩωφµμπΔδθλ"
 
 KEEP, REPLACE, SWITCH, NEAR = 0.0, math.log(0.2), math.log(1e-4), 10.0
 FLOOR = math.log(1e-4)
-#: Passes over a text at most; a second one nearly always finds nothing to do.
-ROUNDS = 8
 
 
 def _composed() -> dict[str, str]:
@@ -208,21 +207,25 @@ def _speaks(word: str) -> str:
 _breaks = re.compile(r"[^\w\s-]")
 
 
-def _prior(text: str, start: int, end: int) -> dict[str, float]:
-    """What the nearest words on either side that speak for a script make of a word between them.
+def _priors(text: str, spans: list[tuple[int, int]]) -> list[dict[str, float]]:
+    """What the nearest words on either side that speak for a script make of each word between them.
 
     A neighbour behind a mark (a quote, a comma) speaks half as loud.
     """
-    prior: dict[str, float] = {}
-    left, right = text[max(0, start - 60) : start], text[end : end + 60]
-    before = [(m[0], left[m.end() :]) for m in _word.finditer(left)][::-1]
-    after = [(m[0], right[: m.start()]) for m in _word.finditer(right)]
-    for words in (before, after):
-        for w, between in words[:4]:
-            if k := _speaks(w):
-                prior[k] = prior.get(k, 0.0) + NEAR / (2 if _breaks.search(between) else 1)
-                break
-    return prior
+    speakers = [(m.start(), m.end(), k) for m in _word.finditer(text) if (k := _speaks(m[0]))]
+    starts = [s for s, _, _ in speakers]
+    out = []
+    for start, end in spans:
+        prior: dict[str, float] = {}
+        before, after = bisect.bisect_left(starts, start) - 1, bisect.bisect_left(starts, end)
+        if before >= 0 and speakers[before][1] > start:
+            before -= 1
+        for at, (a, b) in ((before, (speakers[before][1], start) if before >= 0 else (0, 0)), (after, (end, speakers[after][0]) if after < len(speakers) else (0, 0))):
+            if 0 <= at < len(speakers):
+                k = speakers[at][2]
+                prior[k] = prior.get(k, 0.0) + NEAR / (2 if _breaks.search(text, a, b) else 1)
+        out.append(prior)
+    return out
 
 
 def simple_form(text: str) -> str:
@@ -239,16 +242,18 @@ def consistent_form(text: str, model: ScriptModel) -> str:
     if not _suspect.search(text):
         return text
     text = simple_form(text)
-    for _ in range(ROUNDS):  # a word made Latin speaks for its neighbours, so again until nothing changes
-        if not _odd.search(text):
-            break
-        out, at = [], 0
+    while _odd.search(text):  # a word made Latin speaks for its neighbours, so again until nothing changes
+        spans, at = [], 0
         while m := _odd.search(text, at):
             start, end = m.start(), _word_end.match(text, m.start()).end()
             while start > at and (text[start - 1].isalnum()):
                 start -= 1
-            out += [text[at:start], model.best(text[start:end], _prior(text, start, end))]
-            at = max(end, m.end())
+            spans.append((start, max(end, m.end())))
+            at = spans[-1][1]
+        out, at = [], 0
+        for (start, end), prior in zip(spans, _priors(text, spans)):
+            out += [text[at:start], model.best(text[start:end], prior)]
+            at = end
         after = unicodedata.normalize("NFC", "".join(out) + text[at:])
         if after == text:
             break

@@ -36,8 +36,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_texts(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _table(spark, sf, "chunks")
-    return consistent.with_consistent(chunks.select("position", "text"), "text", "consistent").select("position", "consistent")
+    chunks, gold = _table(spark, sf, "chunks"), _table(spark, sf, "goldset")
+    model = consistent.fit_scripts(chunks, "text")
+    passages = chunks.select(F.lit("chunks.text").alias("field"), F.col("position").cast("string").alias("row_key"), "text")
+    quotes = gold.select(F.lit("goldset.answer_snippet").alias("field"), F.col("id").alias("row_key"), F.col("answer_snippet").alias("text"))
+    return consistent.with_consistent(passages.unionByName(quotes), "text", "consistent", model).select("field", "row_key", "consistent")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,8 @@ merge key is (term, container), so no task ever holds a term whole, however comm
 
 - a term is a run of letters and digits 0-9, single hyphens between two such runs join them;
 - null and blank texts hold no term but a non-empty text counts as a row;
-- repeated record numbers count as one row, for union is idempotent; their occurrences add up.
+- repeated record numbers count as one row, for union is idempotent; their occurrences add up;
+- keys that are no integers are numbered first; a row without a key is a record of its own.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regelspur.session import cut
 from regelspur.llm.consistent import ScriptModel, consistent_form, fit_scripts
 from regelspur.llm.words import terms_of
 
@@ -76,6 +78,18 @@ def _containers(index: _Index, terms: list[np.ndarray], records: list[np.ndarray
     return pd.DataFrame({"term": names[t[starts]], "box": box[starts], "occurrences": occurrences, "records": bitmaps})
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(record, text) of (key, text): integers are record numbers themselves, other keys get numbers that lie close together."""
+    if rows.schema["key"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        numbers = cut(rows.select("key").where("key is not null").distinct().withColumn("record", F.monotonically_increasing_id()), "records")
+        alone = rows.where("key is null").withColumn("record", F.lit(None).cast("long"))
+        rows = rows.where("key is not null").join(numbers, "key").unionByName(alone)
+    else:
+        rows = rows.withColumn("record", F.col("key").cast("long"))
+    # without a key: negative numbers, no two alike
+    return rows.select(F.coalesce("record", -1 - F.monotonically_increasing_id()).alias("record"), "text")
+
+
 def vertical(df: DataFrame, key: str, text: str, model: ScriptModel) -> DataFrame:
     """(term, box, occurrences, records): the containers each task made."""
 
@@ -96,7 +110,7 @@ def vertical(df: DataFrame, key: str, text: str, model: ScriptModel) -> DataFram
         if gathered:
             yield _containers(index, terms, records)
 
-    rows = df.select(F.col(key).cast("long").alias("record"), F.col(text).alias("text")).where(F.length("text") > 0)
+    rows = _numbered(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0))
     return rows.mapInPandas(layout, "term string, box long, occurrences long, records binary")
 
 

@@ -60,6 +60,21 @@ def test_tables(spark, model):
     assert C.inconsistent(empty, "t").count() == 0 and C.with_consistent(empty, "t", "t").columns == df.columns
 
 
+def test_chains_of_words_and_far_neighbours(model):
+    """A word made Latin speaks for the next, however many there are; the nearest speaker counts, however far it is."""
+    assert C.consistent_form("Anlage" + " РЕ сор" * 40, model) == "Anlage" + " PE cop" * 40
+    far = "Anlage " + "5 " * 200 + "РЕ"
+    assert C.consistent_form(far, model) == "Anlage " + "5 " * 200 + "PE"
+
+
+def test_answers_in_one_form_with_their_passages(spark, sf):
+    from regelspur.llm import queries
+
+    got = queries.p3_texts(spark, sf)
+    assert {r[0] for r in got.select("field").distinct().collect()} == {"chunks.text", "goldset.answer_snippet"}
+    assert got.count() == sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("chunks", "goldset"))
+
+
 def test_long_text(model):
     long = "Die Prüfung der Anlage. " * 20_000 + "dеr"
     assert C.consistent_form(long, model).endswith("der")

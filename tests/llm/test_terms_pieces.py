@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 from hypothesis import given, settings
@@ -11,13 +12,21 @@ from pyspark.sql import functions as F
 
 from regelspur.llm import pieces as P
 from regelspur.llm import terms as T
-from regelspur.llm.words import terms_of
+from regelspur.llm.words import terms_of, words_of
 
 
 def test_terms():
     assert terms_of("203-071, A--B -c- d² mm² 5,3 Пр-Ω_x") == ["203-071", "A", "B", "c", "d", "mm", "5", "3", "Пр-Ω", "x"]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("aZä²½٣Ⅷ𝟙𐄇漢5_- ,ß", max_size=30))
+def test_words_are_letters_and_plain_digits(text):
+    plain = "".join(c if c.isalpha() or c in "0123456789" else c if c == "-" else " " for c in text)
+    assert words_of(text) == plain.replace("-", " ").split()
+    assert [t for t in terms_of(text)] == re.findall(r"[^\s-]+(?:-[^\s-]+)*", plain)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 65535), min_size=1), st.integers(0, 20_000))
 def test_containers(numbers, more):
@@ -41,6 +50,14 @@ def test_frequencies_equal_counting(spark, monkeypatch):
     assert T.term_frequencies(spark.createDataFrame([], "position int, text string"), "position", "text").count() == 0
 
 
+def test_keys_of_any_type(spark):
+    rows = [("a", "eins zwei"), ("a", "eins"), ("b", "zwei zwei"), (None, "zwei"), (None, "zwei"), ("c", None)]
+    want = {"eins": (2, 1), "zwei": (5, 4)}
+    for schema, key in (("key string, text string", lambda k: k), ("key int, text string", lambda k: k and ord(k)), ("key decimal(9,2), text string", lambda k: k and Decimal(ord(k)))):
+        df = spark.createDataFrame([(key(k), t) for k, t in rows], schema)
+        assert {r["term"]: (r["occurrences"], r["rows"]) for r in T.term_frequencies(df, "key", "text").collect()} == want
+
+
 def test_merge_of_split_containers(spark):
     part = lambda t, b, ns: (t, b, len(ns), bytearray(T.pack(np.array(ns, np.uint16))))
     rows = [part("a", 0, [1, 2]), part("a", 0, [2, 3]), part("a", 1, [5]), part("b", 0, list(range(9000))), part("b", 0, [8999, 9001])]
