@@ -26,17 +26,24 @@ def _no_words() -> str:
 _other = re.compile(_no_words())
 _run = re.compile(r"[^\W_]+")
 _hyphened = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-#: For lower-cased text of these letters only, which is nearly all: a plain class is quicker.
+
+
+def _found(pattern: re.Pattern, text: str) -> list[str]:
+    """What a pattern of alphanumeric runs finds; searched again without other characters only where a run holds one."""
+    found = pattern.findall(text)
+    if text.isascii() or all(w.isascii() or w.replace("-", "").isalpha() for w in found):
+        return found
+    return pattern.findall(_other.sub(" ", text)) if _other.search("".join(w for w in found if not w.isascii())) else found
 
 
 def words_of(text: str) -> list[str]:
     """The longest runs of letters and digits 0-9 of a text, as they stand."""
-    return _run.findall(_other.sub(" ", text))
+    return _found(_run, text)
 
 
 def terms_of(text: str) -> list[str]:
     """Runs of letters and digits 0-9, joined where a single hyphen stands between two of them."""
-    return _hyphened.findall(_other.sub(" ", text))
+    return _found(_hyphened, text)
 
 
 class Hashes(dict):
