@@ -136,8 +136,19 @@ class Counts:
     """What the tasks count: cells of ``TABLES``, and numbers of paragraphs (``marked``: with an inner place; ``bare``: of those, ending without mark)."""
 
     def __init__(self):
-        self.tables = {k: np.zeros(n, np.int64) for k, n in TABLES.items()}
-        self.marked = self.bare = 0
+        self.sums = {k: np.zeros(n, np.int64) for k, n in TABLES.items()}
+        self.waiting: dict[str, list[np.ndarray]] = {k: [] for k in TABLES}
+        self.size = self.marked = self.bare = 0
+
+    @property
+    def tables(self) -> dict[str, np.ndarray]:
+        """The counts; cells are added up many at a time, for a table is larger than a batch."""
+        for k, cells in self.waiting.items():
+            if cells:
+                self.sums[k] += np.bincount(np.concatenate(cells), minlength=TABLES[k])
+                self.waiting[k] = []
+        self.size = 0
+        return self.sums
 
     def add(self, words: Words, paragraphs: np.ndarray) -> None:
         """Count the events that are certain: ends of paragraphs, and none in gaps without a mark."""
@@ -147,20 +158,26 @@ class Counts:
         inside, free, marked = words.gaps(paragraphs)
         first = np.concatenate([[True], ~inside])
         last = np.concatenate([~inside, [True]])
-        tables = self.tables
         w = _cell(h, WORDS)
         known = np.concatenate([free, [False]]) | last  # the event behind the word is certain
         left = np.where(last, h, words.left)
-        tables["words"] += np.bincount(_cell(left[known], WORDS), minlength=WORDS)
-        tables["starts"] += np.bincount(w[first], minlength=WORDS)
-        tables["ends"] += np.bincount(w[last], minlength=WORDS)
         a, b = left[:-1][free], h[1:][free]
-        tables["pairs"] += np.bincount(_cell(pair(a, b), PAIRS), minlength=PAIRS)
         # the word before: of the paragraph, or its start; unknown behind a mark
         at = np.flatnonzero(free)
         sure = first[at] | np.concatenate([[False], free])[at]
         before = np.where(first[at], START, left[at - 1])[sure]
-        tables["triples"] += np.bincount(_cell(pair(pair(before, a[sure]), b[sure]), TRIPLES), minlength=TRIPLES)
+        found = {
+            "words": _cell(left[known], WORDS),
+            "starts": w[first],
+            "ends": w[last],
+            "pairs": _cell(pair(a, b), PAIRS),
+            "triples": _cell(pair(pair(before, a[sure]), b[sure]), TRIPLES),
+        }
+        for k, cells in found.items():
+            self.waiting[k].append(cells)
+        self.size += len(h)
+        if self.size > 1_000_000:
+            _ = self.tables
 
 
 class WordModel:

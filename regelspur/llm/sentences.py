@@ -516,7 +516,7 @@ class Boundaries:
 
     def _bare(self, words: Words, heads: np.ndarray, places: np.ndarray, unmarked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gaps without a mark where a boundary is not out of the question: number, place and weights."""
-        free = words.gaps(heads)[1]
+        within, free, _ = words.gaps(heads)
         gap = np.flatnonzero(free)
         if not len(gap):
             return gap, gap, np.zeros((0, 2, 2))
@@ -533,7 +533,7 @@ class Boundaries:
         gap, a, b, some = gap[able], a[able], b[able], some[able]
         if not len(gap):
             return gap, gap, np.zeros((0, 2, 2))
-        inside = np.concatenate([[False], words.gaps(heads)[0]])
+        inside = np.concatenate([[False], within])
         start = np.full(len(gap), START)
         # behind a mark the event is that of its place, which this one says nothing of
         before = np.where(inside[gap] & np.concatenate([[False], free])[gap], left[gap - 1], START)
@@ -630,8 +630,11 @@ def _count_styles(counts: Counts, notes: Notes) -> None:
 def fit_annotated(notes: DataFrame) -> Boundaries:
     """Train the models on what the tasks counted of all texts; what is collected is bounded by the cells of the tables."""
     counted = notes.where("part is not null").select("part", F.explode(F.arrays_zip("cells", "counts")).alias("c"))
-    summed = counted.groupBy("part", F.col("c.cells").alias("cell")).agg(F.sum("c.counts").alias("n"))
+    order = ["lefts", "contexts", *TABLES, "styles"]
+    number = F.array_position(F.array(*map(F.lit, order)), F.col("part")).cast("tinyint")
+    summed = counted.groupBy(number.alias("part"), F.col("c.cells").alias("cell")).agg(F.sum("c.counts").alias("n"))
     pdf = summed.toArrow().to_pandas()
+    pdf["part"] = pdf["part"].map(lambda k: order[k - 1])
     found = {name: (part["cell"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for name, part in pdf.groupby("part")}
     nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
     tables = {}
