@@ -7,6 +7,8 @@ shuffled. Null vectors and vectors of another length than the queries' have no s
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 
 #: Query vectors sent at once; 4,096 of 1,024 dimensions are 32 MB.
 QUERY_BLOCK = 4096
+_words = re.compile(r"[a-zäöüß0-9]+")
 
 
 class Embedder(Protocol):
@@ -30,22 +33,33 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """An offline stand-in for a neural model: signed hashed character trigrams, L2-normalised."""
+    """An offline stand-in for a neural model: signed hashed words, L2-normalised.
+
+    A word (a run of German letters and digits, lower-cased) adds 1 or -1 to one component: the first two bytes of its MD5
+    tell the component, the third the sign, so other engines can repeat it. Components are rounded to six digits.
+    """
 
     def __init__(self, dim: int = 64, query_prefix: str = ""):
         self.dim, self.query_prefix = dim, query_prefix
+        self._seen: dict[str, tuple[int, float]] = {}
 
-    def encode(self, texts: list[str]) -> np.ndarray:
-        import zlib
+    def _place(self, word: str) -> tuple[int, float]:
+        found = self._seen.get(word)
+        if found is None:
+            if len(self._seen) > 200_000:
+                self._seen.clear()
+            h = hashlib.md5(word.encode()).digest()
+            found = self._seen[word] = (h[0] * 256 + h[1]) % self.dim, 1.0 if h[2] >= 128 else -1.0
+        return found
 
+    def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
-            padded = f"  {text.lower()}  "
-            for k in range(len(padded) - 2):
-                h = zlib.crc32(padded[k : k + 3].encode())
-                out[i, h % self.dim] += 1.0 if h & 0x8000_0000 else -1.0
+            for word in _words.findall(text.lower()):
+                k, sign = self._place(word)
+                out[i, k] += sign
         norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norms == 0, 1, norms)).astype(np.float32)
+        return (out / np.where(norms == 0, 1, norms)).round(6)
 
 
 def embed(df: DataFrame, text: str, embedder: Embedder, to: str = "embedding", query: bool = False) -> DataFrame:

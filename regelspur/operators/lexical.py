@@ -17,27 +17,61 @@ from regelspur.session import cut, fits
 K1, B = 1.5, 0.75
 #: Question terms up to which they are broadcast to the postings; beyond it both are shuffled by term.
 BROADCAST_TERMS = 500_000
+#: Folders of a saved index.
+PARTS = 256
 
 
 @dataclass
 class LexicalIndex:
-    """postings(term, key, tf), doc_stats(key, dl), term_stats(term, df, idf), corpus_stats(n, avgdl)."""
+    """postings(term, key, tf), doc_stats(key, dl), term_stats(term, df, idf), corpus_stats(n, avgdl).
+
+    An index that was built has ``terms(key, terms)`` too, one that was loaded its postings by part.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
     key: str
+    terms: DataFrame | None = None
+    parted: bool = False
 
     def save(self, path: str) -> None:
-        """Postings sorted by term, so that a search reads few row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings in a folder a part of the terms, so that a search reads the folders of its terms only."""
+        parted = self.postings.withColumn("part", _part(F.col("term")))
+        parted.repartition("part", F.pmod(F.xxhash64(self.key), F.lit(16))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
         for name in ("doc_stats", "term_stats", "corpus_stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark, path: str, key: str) -> "LexicalIndex":
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus_stats")), key)
+        return LexicalIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus_stats")), key, parted=True)
+
+    def of_terms(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The postings and statistics of the terms asked (term), which are all a search needs.
+
+        Other terms are left out before anything is grouped or shuffled.
+        """
+        few = fits(asked, BROADCAST_TERMS)
+        wanted = F.broadcast(asked) if few else asked
+        if self.terms is None:
+            postings = self.postings
+            if self.parted and few:
+                parts = [r[0] for r in asked.select(_part(F.col("term"))).distinct().collect()]  # at most PARTS
+                postings = postings.where(F.col("part").isin(parts)).drop("part")
+            return postings.join(wanted, "term", "left_semi"), self.term_stats.join(wanted, "term", "left_semi")
+        rows = self.terms.select(self.key, F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+        postings = cut(rows.groupBy("term", self.key).agg(F.count(F.lit(1)).cast("int").alias("tf")), "postings")
+        counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return postings, _with_idf(counted, self.corpus_stats)
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.crc32(term), F.lit(PARTS)).cast("int")
+
+
+def _with_idf(counted: DataFrame, corpus: DataFrame) -> DataFrame:
+    return counted.crossJoin(F.broadcast(corpus)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))  # one row
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -54,8 +88,8 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") ->
     doc_stats = terms.select(key, F.size("terms").alias("dl"))
     postings = terms.select(key, F.explode("terms").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).cast("int").alias("tf"))
     corpus = doc_stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
-    return LexicalIndex(postings, doc_stats, term_stats, corpus, key)
+    term_stats = _with_idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
+    return LexicalIndex(postings, doc_stats, term_stats, corpus, key, terms)
 
 
 def weight(tf: Column, dl: Column, avgdl: Column, idf_: Column) -> Column:
@@ -70,10 +104,11 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, decimals: int | None
     ``decimals`` scores are rounded first and ties go to the key alone, which other engines can repeat.
     """
     asked = queries.select("qid", F.posexplode(T.analyse(F.col("question"))).alias("at", "term"))
-    asked = asked.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("at"))
-    known = asked.join(index.term_stats, "term")
+    asked = cut(asked.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("at")), "asked")
+    postings, stats = index.of_terms(asked.select("term").distinct())
+    known = asked.join(stats, "term")
     probe = F.broadcast(known) if fits(asked, BROADCAST_TERMS) else known
-    hits = index.postings.join(probe, "term").join(index.doc_stats, index.key).crossJoin(F.broadcast(index.corpus_stats))
+    hits = postings.join(probe, "term").join(index.doc_stats, index.key).crossJoin(F.broadcast(index.corpus_stats))
     score = F.sum(F.col("times") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")))
     scored = hits.groupBy("qid", index.key).agg((F.round(score, decimals) if decimals is not None else score).alias("score"), F.min("at").alias("first"))
     ties = [F.col(index.key)] if decimals is not None else [F.col("first"), F.col(index.key)]

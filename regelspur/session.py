@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,6 +33,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g", **mo
 
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
+_homes: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,26 +52,57 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a
-    folder of our own is chosen, once an application.
+    It is the session's ``spark.checkpoint.dir``, else the one set on the context. Where neither is
+    set, a session on one machine (tests) gets a folder of its own, once an application; on a cluster that is an error,
+    for the machines would not see each other's files.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _own.get(sc.applicationId)
     if not found:
-        found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="regelspur-")
-    return found
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        found = _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="regelspur-")
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` into the shared folder and read it back, so later steps start from the files.
 
-    The files survive the loss of an executor, unlike blocks of a local checkpoint.
+    The files survive the loss of an executor, unlike blocks of a local checkpoint. They stay until the
+    application ends, for frames that refer to them may live as long; ``clear`` removes them earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/regelspur/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    home = _home(spark)
+    path = f"{home}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _home(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the interpreter ends."""
+    sc = spark.sparkContext
+    home = f"{shared_dir(spark)}/regelspur/{sc.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_leave, spark, home)
+    return home
+
+
+def _leave(spark: SparkSession, home: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        _delete(spark, home)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what ``cut`` has written for this application; frames made of it can no longer be read."""
+    _delete(spark, _home(spark))
+
+
 def fits(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows; looks at no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= limit
