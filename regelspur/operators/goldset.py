@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regelspur.functions import replies
 from regelspur.functions import text as T
+from regelspur.session import cut
 
 LEAST_CHARS, LEAST_LETTERS = 300, 0.55
 #: Strata whose rows carry a salt of so many values before they are ranked, so that no task sorts a large one whole.
@@ -54,16 +55,17 @@ def problem(colloquial: Column, precise: Column, snippet: Column, text: Column)
 
 
 def number_entries(entries: DataFrame, existing: int, order: list[str]) -> DataFrame:
-    """``entries`` with ids ``gold-001`` onwards after those that exist.
+    """``entries`` with ids ``gold-001`` onwards after the number ``existing``.
 
-    Numbered by parts: each range partition counts its own, and the small table of counts gives the offsets.
+    Numbered by parts: each range partition, written with its number, counts its own, and the small table of
+    counts gives the offsets.
     """
-    parted = entries.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    parted = parted.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    parted = cut(entries.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()), "entries")
     counts = parted.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._c"), F.lit(0)).alias("_o"))
-    numbered = parted.join(before, "_p")
-    return numbered.withColumn("id", F.format_string("gold-%03d", F.lit(existing) + F.col("_o") + F.col("_n"))).drop("_p", "_n", "_c", "_o")
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    offsets = counts.select("_p", before.alias("_o"))
+    numbered = parted.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(offsets), "_p")
+    return numbered.withColumn("id", F.format_string("gold-%03d", F.lit(existing) + F.col("_o") + F.col("_n"))).drop("_p", "_n", "_o")
 
 
 PROMPT = (
@@ -97,14 +99,20 @@ def generate_entries(chunks: DataFrame, generator: Callable[[Column, Column], Co
     return out.withColumn("problem", bad).drop("_p")
 
 
-def build_goldset(chunks: DataFrame, existing: DataFrame | None = None, per_document: int = 5, seed: int = 42, generator: Callable[[Column, Column], Column] = template_reply) -> DataFrame:
-    """Usable passages that no entry uses yet, sampled, asked about, validated, numbered, after the existing entries."""
+def new_entries(chunks: DataFrame, existing: DataFrame | None = None, per_document: int = 5, seed: int = 42, generator: Callable[[Column, Column], Column] = template_reply) -> DataFrame:
+    """Usable passages that no entry uses yet, sampled, asked about, validated; numbered after the largest number in use."""
     usable = chunks.where(is_usable(F.col("type"), F.col("text")))
+    last = 0
     if existing is not None:
         usable = exclude_used(usable, existing)
+        last = existing.agg(F.max(F.try_to_number(F.regexp_extract("id", "([0-9]{1,18})$", 1), F.lit("9" * 18)).cast("long")).alias("n")).first()["n"] or 0
     made = generate_entries(stratified_sample(usable, per_document, seed), generator).where("problem is null")
-    count = existing.count() if existing is not None else 0
-    new = number_entries(made.withColumn("_page", F.coalesce("page_number", F.lit(0))), count, ["source_file", "_page", "chunk_id"])
+    new = number_entries(made.withColumn("_page", F.coalesce("page_number", F.lit(0))), last, ["source_file", "_page", "chunk_id"])
     columns = ["id", "chunk_id", "source_file", "page_number", F.col("type").alias("chunk_type"), "question_colloquial", "question_precise", "answer_snippet"]
-    new = new.select(*columns)
+    return new.select(*columns)
+
+
+def build_goldset(chunks: DataFrame, existing: DataFrame | None = None, per_document: int = 5, seed: int = 42, generator: Callable[[Column, Column], Column] = template_reply) -> DataFrame:
+    """The existing entries, and the new ones behind them."""
+    new = new_entries(chunks, existing, per_document, seed, generator)
     return existing.select(new.columns).unionByName(new) if existing is not None else new

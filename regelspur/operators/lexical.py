@@ -116,6 +116,17 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, decimals: int | None
     return ranked.where(F.col("rank") <= k).select("qid", "rank", index.key, "score")
 
 
+def overlap(index: LexicalIndex, queries: DataFrame, k: int, decimals: int = 6) -> DataFrame:
+    """(qid, rank, key, score): passages by the share of a question's distinct terms they hold, rounded; ties go to the key."""
+    terms = queries.select("qid", F.array_distinct(T.analyse(F.col("question"))).alias("ts"))
+    wanted = cut(terms.select("qid", F.size("ts").alias("size"), F.explode("ts").alias("term")), "asked")
+    postings = index.of_terms(wanted.select("term").distinct())[0]
+    probe = F.broadcast(wanted) if fits(wanted, BROADCAST_TERMS) else wanted
+    shared = postings.join(probe, "term").groupBy("qid", index.key).agg(F.round(F.count(F.lit(1)) / F.any_value("size"), decimals).alias("score"))
+    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), index.key)))
+    return ranked.where(F.col("rank") <= k).select("qid", "rank", index.key, "score")
+
+
 def with_passages(ranked: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Ranked keys with the passages' text, file, page and type."""
     return ranked.join(chunks.select(key, "text", "source_file", "page_number", "type"), key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regelspur.functions import replies
 from regelspur.functions import text as T
-from regelspur.operators import answers, chunking, compare, dense, evaluation, fusion, goldset, lexical, metrics
+from regelspur.operators import answers, chunking, compare, dense, evaluation, fusion, goldset, lexical, metrics, retrievers
 from regelspur.plans import sql as S
 from regelspur.plans.text_queries import table
 from regelspur.session import fits
@@ -47,35 +47,39 @@ def corpus_stats(spark, sf):
     return lexical.build_index(passages(spark, sf)).corpus_stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
+def _index(spark, sf):
+    return lexical.build_index(passages(spark, sf))
+
+
 def _bm25(spark, sf, k=20):
-    return lexical.search(lexical.build_index(passages(spark, sf)), asked(spark, sf), k, decimals=6)
+    return lexical.search(_index(spark, sf), asked(spark, sf), k, decimals=6)
 
 
 def bm25_topk(spark, sf):
     return _bm25(spark, sf)
 
 
-def _overlap(spark, sf, k=20):
-    """Passages by the share of a question's distinct terms they hold."""
-    index = lexical.build_index(passages(spark, sf))
-    terms = asked(spark, sf).select("qid", F.array_distinct(T.analyse(F.col("question"))).alias("ts"))
-    wanted = terms.select("qid", F.size("ts").alias("size"), F.explode("ts").alias("term"))
-    shared = index.postings.join(wanted, "term").groupBy("qid", "chunk_id").agg(F.round(F.count(F.lit(1)) / F.any_value("size"), 6).alias("score"))
-    return fusion._ranked(shared, F.desc("score"), F.col("chunk_id")).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
-
-
 def overlap_topk(spark, sf):
-    return _overlap(spark, sf)
+    return lexical.overlap(_index(spark, sf), asked(spark, sf), 20)
 
 
 def rrf_fusion(spark, sf):
-    return fusion.reciprocal_rank_fusion([_bm25(spark, sf), _overlap(spark, sf)], decimals=6)
+    index, questions = _index(spark, sf), asked(spark, sf)
+    return fusion.reciprocal_rank_fusion([lexical.search(index, questions, 20, decimals=6), lexical.overlap(index, questions, 20)], decimals=6)
 
 
 def hybrid_topk(spark, sf):
     return rrf_fusion(spark, sf).where("rank <= 5").select("qid", "rank", "chunk_id", "score")
 
 
+def dense_hybrid_topk(spark, sf):
+    """Nearest passages by embedding and BM25, both to depth 20, fused by rank."""
+    vectors = dense.embed(passages(spark, sf).where("text is not null").select("chunk_id", "text"), "text", dense.HashingEmbedder()).select("chunk_id", "embedding")
+    near = retrievers.DenseRetriever(vectors, dense.HashingEmbedder(), decimals=6)
+    both = retrievers.HybridRetriever(near, retrievers.LexicalRetriever(_index(spark, sf), decimals=6), decimals=6)
+    return both.retrieve(asked(spark, sf), 5).select("qid", "rank", "chunk_id", "score")
+
+
 def rerank_topk(spark, sf):
     return fusion.rerank(_bm25(spark, sf), asked(spark, sf), passages(spark, sf), 5, decimals=6)
 
@@ -88,7 +92,9 @@ def dense_topk(spark, sf):
 
 
 def hashing_embed(spark, sf):
-    return dense.embed(passages(spark, sf).select("chunk_id", "text"), "text", dense.HashingEmbedder()).select("chunk_id", "embedding")
+    """The components that are not 0, to six digits."""
+    made = dense.embed(passages(spark, sf).select("chunk_id", "text"), "text", dense.HashingEmbedder())
+    return made.select("chunk_id", F.posexplode("embedding").alias("component", "v")).select("chunk_id", "component", F.round(F.col("v").cast("double"), 6).alias("value")).where("value <> 0")
 
 
 def upsert_vectors(spark, sf):
@@ -119,7 +125,7 @@ def gold_validate(spark, sf):
 
 
 def gold_generate(spark, sf):
-    return goldset.build_goldset(passages(spark, sf), table(spark, sf, "goldset")).where("length(id) < 13").select("id", "chunk_id", "source_file", "question_colloquial", "answer_snippet")
+    return goldset.new_entries(passages(spark, sf), table(spark, sf, "goldset")).select("id", "chunk_id", "source_file", "question_colloquial", "answer_snippet")
 
 
 def question_forms(spark, sf):
@@ -211,7 +217,7 @@ def answer_offline(spark, sf):
     return done.select("qid", "answer", "abstained", F.size("sources").alias("sources"))
 
 
-NAMES = "postings doc_stats term_stats corpus_stats bm25_topk overlap_topk rrf_fusion hybrid_topk rerank_topk dense_topk hashing_embed upsert_vectors usable_chunks stratified_sample gold_exclude gold_validate gold_generate question_forms relevance_hits first_hit_rank misses recall_mrr_ndcg per_document_recall per_document_pivot mcnemar abstention_rollup parse_citations refusal_split build_sources build_context answer_offline".split()
+NAMES = "postings doc_stats term_stats corpus_stats bm25_topk overlap_topk rrf_fusion hybrid_topk dense_hybrid_topk rerank_topk dense_topk hashing_embed upsert_vectors usable_chunks stratified_sample gold_exclude gold_validate gold_generate question_forms relevance_hits first_hit_rank misses recall_mrr_ndcg per_document_recall per_document_pivot mcnemar abstention_rollup parse_citations refusal_split build_sources build_context answer_offline".split()
 
 _USABLE = f"type IN ('NarrativeText', 'Table') AND length(text) >= 300 AND NOT regexp_matches(text, {S.lit(T.LEADERS)}) AND {S.letters('text')}::DOUBLE / length(text) > 0.55"
 _N, _NS = S.normalise("coalesce(text, '')"), S.normalise("answer_snippet")
@@ -230,7 +236,44 @@ _REPLIES = f"""{S.GOLD}, replies AS (SELECT id AS qid, source_file, page_number,
 _CITED = f"""{_REPLIES}, cites AS (SELECT qid, {S.strip('n')} AS name, p::INTEGER AS page FROM (SELECT qid, unnest({S.citation_names('answer')}) AS n, unnest(regexp_extract_all(answer, {S.lit(replies.CITATION)}, 2)) AS p FROM replies)),
       cited AS (SELECT DISTINCT qid, CASE WHEN lower(name) LIKE '%.pdf' THEN name ELSE name || '.pdf' END AS file, page FROM cites)"""
 
+#: The offline embeddings, a row a component: (chunk_id, component, value) and (qid, component, value).
+def _embedded(name: str, rows: str, key: str, text: str) -> str:
+    return f"""{name}_words AS (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-zäöüß0-9]+')) AS w FROM {rows} WHERE {text} IS NOT NULL),
+      {name}_sums AS (SELECT {key}, (('0x' || substr(md5(w), 1, 4))::INTEGER % 64)::INTEGER AS component, sum(CASE WHEN ('0x' || substr(md5(w), 5, 2))::INTEGER >= 128 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_words GROUP BY ALL),
+      {name} AS (SELECT {key}, component, round(v / sqrt(sum(v * v) OVER (PARTITION BY {key})), 6) AS value FROM {name}_sums WHERE v <> 0)"""
+
+
+_HYBRID = f"""{S.BM25}, {_embedded('pv', 'passages', 'chunk_id', 'text')}, {_embedded('qv', 'asked', 'qid', 'question')},
+      dots AS (SELECT qid, chunk_id, sum(a.value * b.value) AS dot FROM qv a JOIN pv b USING (component) GROUP BY ALL),
+      near AS (SELECT q.qid, row_number() OVER (PARTITION BY q.qid ORDER BY round(coalesce(dot, 0), 6) DESC, p.chunk_id) AS rank, p.chunk_id
+               FROM (SELECT qid FROM asked WHERE question IS NOT NULL) q CROSS JOIN (SELECT chunk_id FROM passages WHERE text IS NOT NULL) p LEFT JOIN dots d ON d.qid = q.qid AND d.chunk_id = p.chunk_id QUALIFY rank <= 20),
+      both_near AS (SELECT qid, chunk_id, rank FROM near UNION ALL SELECT qid, chunk_id, rank FROM bm25),
+      fused_near AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM both_near GROUP BY ALL)"""
+_LONGEST = f"list_sort(list_transform({S.analyse('text')}, lambda t: {{'n': -length(t), 't': t}}))[1].t"
+_GENERATED = f"""{S.FIRST}, used AS (SELECT DISTINCT chunk_id FROM goldset WHERE chunk_id IS NOT NULL),
+      picked AS (SELECT * FROM passages WHERE {_USABLE} AND chunk_id NOT IN (SELECT chunk_id FROM used) QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY md5('42|' || chunk_id), chunk_id, position) <= 5),
+      said AS (SELECT *, {_LONGEST} AS longest, array_to_string(regexp_split_to_array({S.strip('text')}, {S.lit(T.WS + '+')})[1:8], ' ') AS answer_snippet FROM picked),
+      kept AS (SELECT *, 'Was gilt eigentlich für ' || longest || '?' AS question_colloquial FROM said WHERE longest IS NOT NULL AND len(list_filter(regexp_split_to_array(answer_snippet, {S.lit(T.WS + '+')}), lambda w: w <> '')) >= 4 AND contains({_N}, {_NS})),
+      last AS (SELECT coalesce(max(try_cast(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT)), 0) AS n FROM goldset)"""
+_BEST = f"""{S.BM25}, five AS (SELECT qid, rank, text, source_file, page_number FROM bm25 JOIN passages USING (chunk_id) WHERE rank <= 5),
+      terms AS (SELECT qid, list_distinct({S.analyse('question')}) AS ts FROM asked),
+      sentences AS (SELECT qid, rank, source_file, page_number, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM five),
+      shares AS (SELECT qid, rank, source_file, page_number, s, len(list_intersect(ts, {S.analyse('s')}))::DOUBLE / nullif(len(ts), 0) AS v FROM sentences JOIN terms USING (qid)),
+      best AS (SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY qid ORDER BY v DESC NULLS LAST, rank, s DESC, source_file DESC NULLS LAST, page_number DESC NULLS LAST) = 1),
+      raw AS (SELECT a.qid, CASE WHEN b.qid IS NULL THEN NULL WHEN v >= 0.5 THEN s || ' [' || coalesce(source_file, '?') || ', Seite ' || coalesce(page_number::VARCHAR, '?') || ']'
+                     ELSE '{replies.REFUSAL_TOKEN} Der Kontext beantwortet die Frage nicht.' END AS answer FROM asked a LEFT JOIN best b USING (qid)),
+      refusals AS (SELECT *, answer IS NULL OR regexp_matches(answer, {S.lit(replies.REFUSAL)}) AS abstained FROM raw),
+      cites AS (SELECT qid, {S.strip('n')} AS name, try_cast(p AS INTEGER) AS page FROM (SELECT qid, unnest({S.citation_names('answer')}) AS n, unnest(regexp_extract_all(answer, {S.lit(replies.CITATION)}, 2)) AS p FROM refusals WHERE NOT abstained)),
+      cited AS (SELECT DISTINCT qid, CASE WHEN lower(name) LIKE '%.pdf' THEN name ELSE name || '.pdf' END AS file, page FROM cites),
+      counted AS (SELECT f.qid, count(DISTINCT (source_file, page_number)) AS sources FROM five f JOIN cited c ON c.qid = f.qid AND c.file = f.source_file AND c.page = f.page_number GROUP BY 1)"""
+
 ORACLE = {
+    "dense_hybrid_topk": f"WITH {_HYBRID} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM fused_near QUALIFY rank <= 5",
+    "hashing_embed": f"WITH {S.FIRST}, {_embedded('pv', 'passages', 'chunk_id', 'text')} SELECT chunk_id, component, value FROM pv WHERE value <> 0",
+    "gold_generate": f"""WITH {_GENERATED} SELECT 'gold-' || lpad((n + row_number() OVER (ORDER BY source_file, coalesce(page_number, 0), chunk_id))::VARCHAR, greatest(3, length((n + row_number() OVER (ORDER BY source_file, coalesce(page_number, 0), chunk_id))::VARCHAR))::INTEGER, '0') AS id,
+      chunk_id, source_file, question_colloquial, answer_snippet FROM kept, last""",
+    "answer_offline": f"""WITH {_BEST} SELECT qid, CASE WHEN answer IS NULL THEN '{replies.NO_PASSAGE}' WHEN abstained THEN {S.strip(S.sub('answer', replies.REFUSAL, ''))} ELSE answer END AS answer, abstained, coalesce(sources, 0)::INTEGER AS sources
+      FROM refusals LEFT JOIN counted USING (qid)""",
     "postings": f"WITH {S.INDEX} SELECT term, chunk_id, tf FROM postings",
     "doc_stats": f"WITH {S.INDEX} SELECT chunk_id, dl::BIGINT AS dl FROM doc_stats",
     "term_stats": f"WITH {S.INDEX} SELECT term, df, round(idf, 6) AS idf FROM term_stats",
