@@ -5,7 +5,7 @@ Every class is spelt out so that Java, RE2 and Python agree; see the constants.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space, word characters and hyphens as Python's ``re`` has them.
@@ -15,7 +15,7 @@ NOT_W = r"[^\p{L}\p{N}_]"
 HYPHEN = r"[-\x{2010}\x{2011}]"
 SOFT = r"\x{00ad}"
 
-#: The repair chain: (pattern, replacement), in this order. Single line breaks become spaces through
+#: The repair chain and its patterns, whose results must match: (pattern, replacement), in this order. Single line breaks become spaces through
 #: the detour of \x01, which the chain has removed before, so no look-around is needed.
 CLEAN = (
     (SOFT + WS + "*", ""),
@@ -59,6 +59,11 @@ STOPWORDS = (
 ).split()
 
 
+def types(df: DataFrame) -> str:
+    """The columns of a frame as a schema in words."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def _chain(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
     for pattern, replacement in steps:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))

@@ -1,12 +1,15 @@
 """Blocks of documents to passages: two numeric folds and the assembly of texts.
 
-The folds run over one document's blocks each; a document is the unit that has an order. Texts are
+The folds run over the sorted blocks of a document as they stream by, in Arrow batches. Texts are
 never split. Null texts count as empty and are left out; an empty table gives no passages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regelspur.functions import text as T
@@ -14,67 +17,100 @@ from regelspur.functions import text as T
 MOST_TOKENS, LEAST_CHARS = 600, 300
 
 
-def chunk_numbers(blocks: Column, most: int = MOST_TOKENS, least: int = LEAST_CHARS) -> Column:
-    """The chunk number of every block of an ordered array of (tk tokens, ch characters, hd heading).
+class Fold:
+    """The chunk number of each block of a document, one after the other.
 
     A block opens a new chunk if the buffer holds some and would exceed ``most`` tokens with it, or if
     it is a heading and the buffer has ``least`` characters; a buffer beyond ``most`` closes behind it.
     """
-    start = F.struct(
-        F.lit(0).alias("no"), F.lit(0).alias("n"), F.lit(0).alias("bt"), F.lit(0).alias("bc"), F.array().cast("array<int>").alias("o")
-    )
 
-    def step(s: Column, e: Column) -> Column:
-        breaks = (s["n"] > 0) & ((s["bt"] + e["tk"] > most) | (e["hd"] & (s["bc"] >= least)))
-        no = s["no"] + F.when(breaks, 1).otherwise(0)
-        tokens = F.when(breaks, 0).otherwise(s["bt"]) + e["tk"]
-        full = tokens > most
-        return F.struct(
-            (no + F.when(full, 1).otherwise(0)).alias("no"),
-            F.when(full, 0).otherwise(1).alias("n"),
-            F.when(full, 0).otherwise(tokens).alias("bt"),
-            F.when(full, 0).otherwise(F.when(breaks, 0).otherwise(s["bc"]) + e["ch"]).alias("bc"),
-            F.array_append(s["o"], no).alias("o"),
-        )
+    def __init__(self, most: int = MOST_TOKENS, least: int = LEAST_CHARS):
+        self.most, self.least = most, least
+        self.no = self.held = self.tokens = self.chars = 0
 
-    return F.aggregate(blocks, start, step, lambda s: s["o"])
+    def number(self, tokens: int, chars: int, heading: bool) -> int:
+        if self.held and (self.tokens + tokens > self.most or heading and self.chars >= self.least):
+            self.no, self.held, self.tokens, self.chars = self.no + 1, 0, 0, 0
+        mine = self.no
+        self.held, self.tokens, self.chars = self.held + 1, self.tokens + tokens, self.chars + chars
+        if self.tokens > self.most:
+            self.no, self.held, self.tokens, self.chars = self.no + 1, 0, 0, 0
+        return mine
 
 
-def merge_numbers(lengths: Column, least: int = LEAST_CHARS) -> Column:
-    """The group of every chunk of an ordered array of lengths: what is shorter than ``least`` waits and is
-    put in front of the next; a rest at the end joins the last group, or stands alone."""
-    start = F.struct(F.lit(0).alias("g"), F.lit(None).cast("int").alias("p"), F.array().cast("array<int>").alias("o"))
+class Merge:
+    """The group of each chunk of a document: what is shorter than ``least`` waits and is put in front of the
+    next; a rest at the end joins the last group, or stands alone. Waiting chunks are numbered when that is settled."""
 
-    def step(s: Column, x: Column) -> Column:
-        total = F.coalesce(s["p"] + 2, F.lit(0)) + x
-        short = total < least
-        return F.struct(
-            F.when(short, s["g"]).otherwise(s["g"] + 1).alias("g"), F.when(short, total).alias("p"), F.array_append(s["o"], s["g"]).alias("o")
-        )
+    def __init__(self, least: int = LEAST_CHARS):
+        self.least, self.group, self.chars, self.waiting = least, 0, 0, 0
 
-    def finish(s: Column) -> Column:
-        rest = s["p"].isNotNull() & (s["g"] > 0)
-        return F.when(rest, F.transform(s["o"], lambda y: F.least(y, s["g"] - 1))).otherwise(s["o"])
+    def add(self, chars: int) -> list[int]:
+        """The numbers of the chunks that are settled now: none, or those that waited and this one."""
+        self.chars += chars + (2 if self.waiting else 0)
+        self.waiting += 1
+        if self.chars < self.least:
+            return []
+        done = [self.group] * self.waiting
+        self.group, self.chars, self.waiting = self.group + 1, 0, 0
+        return done
 
-    return F.aggregate(lengths, start, step, finish)
+    def end(self) -> list[int]:
+        return [max(0, self.group - 1)] * self.waiting
+
+
+def _numbered(rows: DataFrame, order: str, name: str, fold: Callable[[], Callable[[tuple | None], list[int]]], columns: list[str]) -> DataFrame:
+    """``rows`` with the number that a fold over the rows of each document in their order gives them.
+
+    Documents lie sorted in their partitions and stream through, so the cost is that of the rows however
+    long a document is; only rows that the fold has not numbered yet are held.
+    """
+    schema = T.types(rows) + f", {name} int"
+    at = [rows.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step, source, held = None, None, None
+        for pdf in batches:
+            if held is not None and len(held):
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            old = 0 if held is None else len(held)
+            numbers: list[int] = []
+            files = pdf["source_file"].tolist()
+            values = list(zip(*(pdf.iloc[:, k].tolist() for k in at)))
+            for k in range(old, len(pdf)):
+                if step is None or files[k] != source:
+                    if step is not None:
+                        numbers += step(None)
+                    step, source = fold(), files[k]
+                numbers += step(values[k])
+            done = pdf.iloc[: len(numbers)].copy()
+            held = pdf.iloc[len(numbers) :]
+            if len(done):
+                done[name] = numbers
+                yield done
+        if held is not None and len(held):
+            yield held.assign(**{name: step(None)})
+
+    return rows.repartition("source_file").sortWithinPartitions("source_file", order).mapInPandas(run, schema)
+
+
+def _assign() -> Callable[[tuple | None], list[int]]:
+    fold = Fold()
+    return lambda v: [] if v is None else [fold.number(*v)]
+
+
+def _merge() -> Callable[[tuple | None], list[int]]:
+    merge = Merge()
+    return lambda v: merge.end() if v is None else merge.add(*v)
 
 
 def assign_chunks(elements: DataFrame) -> DataFrame:
     """(source_file, elem_idx, chunk_no, text, page_number) of the narrative blocks."""
-    e = elements.where("type = 'NarrativeText' AND length(text) > 0").select(
-        "source_file",
-        F.struct(
-            F.col("elem_idx").alias("i"),
-            T.token_estimate(F.col("text")).alias("tk"),
-            F.length("text").alias("ch"),
-            T.is_heading(F.col("text")).alias("hd"),
-            F.col("page_number").alias("page"),
-            F.col("text").alias("text"),
-        ).alias("e"),
+    text = F.col("text")
+    sized = elements.where("type = 'NarrativeText' AND length(text) > 0").select(
+        "source_file", "elem_idx", "text", "page_number", T.token_estimate(text).cast("int").alias("tk"), F.length(text).alias("ch"), T.is_heading(text).alias("hd")
     )
-    grouped = e.groupBy("source_file").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    numbered = grouped.select("source_file", F.explode(F.arrays_zip(F.col("es").alias("e"), chunk_numbers(F.col("es")).alias("no"))).alias("z"))
-    return numbered.select("source_file", F.col("z.e.i").alias("elem_idx"), F.col("z.no").alias("chunk_no"), F.col("z.e.text").alias("text"), F.col("z.e.page").alias("page_number"))
+    return _numbered(sized, "elem_idx", "chunk_no", _assign, ["tk", "ch", "hd"]).select("source_file", "elem_idx", "chunk_no", "text", "page_number")
 
 
 def _joined(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -95,12 +131,8 @@ def fold_chunks(elements: DataFrame) -> DataFrame:
 
 def merge_groups(chunks: DataFrame) -> DataFrame:
     """(source_file, chunk_no, group_no, text, ...): to which merged chunk each belongs."""
-    ordered = chunks.groupBy("source_file").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_no", "text", "page_number", "page_end"))).alias("cs")
-    )
-    numbers = merge_numbers(F.transform("cs", lambda c: F.length(c["text"])))
-    zipped = F.explode(F.arrays_zip(F.col("cs").alias("c"), numbers.alias("g"))).alias("z")
-    return ordered.select("source_file", zipped).select("source_file", F.col("z.c.chunk_no").alias("chunk_no"), F.col("z.g").alias("group_no"), "z.c.text", "z.c.page_number", "z.c.page_end")
+    sized = chunks.select("source_file", "chunk_no", "text", "page_number", "page_end", F.length("text").alias("ch"))
+    return _numbered(sized, "chunk_no", "group_no", _merge, ["ch"]).select("source_file", "chunk_no", "group_no", "text", "page_number", "page_end")
 
 
 def merge_short(chunks: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Documents to blocks (source_file, elem_idx, type, text, page_number).
 
-PDF and HTML extraction is pluggable: an extractor takes a file's bytes and yields blocks with their
-rectangles. What is found in tables is not repeated as text.
+Extraction is pluggable: an extractor takes a file's bytes and yields blocks with their rectangles;
+``extractors`` has those of text, markdown and HTML. What is found in tables is not repeated as text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regelspur.functions import text as T
+from regelspur.functions import titles
+from regelspur.sources import extractors
 
 #: (page, type, text, x0, y0, x1, y1); tables come as markdown text.
 Block = tuple[int, str, str, float, float, float, float]
@@ -30,19 +32,35 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return found
 
 
-def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
-    """Every block of every file, in reading order, with its rectangle."""
+def extract(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:
+    """Every block of every file, in reading order, with its rectangle; without an extractor by the file's ending."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["source_file"], pdf["content"]):
-                rows = [(name, i, kind, text, page, *box) for i, (page, kind, text, *box) in enumerate(extractor(content))]
+                rows = [(name, i, kind, text, page, *box) for i, (page, kind, text, *box) in enumerate(extractor(content) if extractor else extractors.of_file(name, content))]
                 if rows:
                     yield pd.DataFrame(rows, columns=["source_file", "elem_idx", "type", "text", "page_number", "x0", "y0", "x1", "y1"])
 
     return files.select("source_file", "content").mapInPandas(run, RAW)
 
 
+def file_titles(files: DataFrame, lines: int = 10) -> DataFrame:
+    """(path, source_file, title): the best title of each file: its own, else its first lines', else its name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, name, content in zip(pdf["path"], pdf["source_file"], pdf["content"]):
+                first = [x for _, kind, text, *_ in extractors.of_file(name, content) if kind != "Table" for x in text.split("\n")][:lines]
+                rows.append((path, name, extractors.title_of(name, content), first))
+            yield pd.DataFrame(rows, columns=["path", "source_file", "raw", "first"])
+
+    read = files.select("path", "source_file", "content").mapInPandas(run, "path string, source_file string, raw string, first array<string>")
+    stem = F.regexp_replace("source_file", F.lit(r"\.[^.]*$"), F.lit(""))
+    return read.select("path", "source_file", titles.read_title(F.col("raw"), F.col("first"), stem).alias("title"))
+
+
 def without_overlap(blocks: DataFrame) -> DataFrame:
     """Text blocks that no table of their page overlaps, and all tables, also ones discarded later."""
     is_table = F.col("type") == "Table"

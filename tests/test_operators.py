@@ -42,22 +42,47 @@ def python_merge(lengths, least=300):
 FOLD = [(10, 50, 1), (8, 40, 1), (90, 400, 0), (5, 20, 1), (700, 3000, 0), (20, 120, 0), (300, 1500, 0), (301, 1500, 0), (4, 30, 1)]
 
 
-def test_fold_and_merge_examples(spark):
-    rows = spark.createDataFrame([([dict(tk=a, ch=b, hd=bool(c)) for a, b, c in FOLD],)], "b array<struct<tk:int,ch:int,hd:boolean>>")
-    assert rows.select(chunking.chunk_numbers(F.col("b"))).first()[0] == [0, 0, 0, 1, 2, 3, 3, 4, 5] == python_fold(FOLD)
-    merges = [[494, 20, 3000, 1622, 1500, 30], [100, 50], [100, 250, 10], []]
-    df = spark.createDataFrame([(i, m) for i, m in enumerate(merges)], "i int, m array<int>")
-    got = [r[0] for r in df.orderBy("i").select(chunking.merge_numbers(F.col("m"))).collect()]
-    assert got == [[0, 1, 1, 2, 3, 3], [0, 0], [0, 0, 0], []]
+def numbers(docs):
+    fold = [chunking.Fold() for _ in docs]
+    return [[f.number(*b) for b in d] for f, d in zip(fold, docs)]
 
 
-@settings(max_examples=10, deadline=None)
+def groups(docs):
+    out = []
+    for d in docs:
+        merge = chunking.Merge()
+        out.append([n for x in d for n in merge.add(x)] + merge.end())
+    return out
+
+
+def test_fold_and_merge_examples():
+    assert numbers([FOLD]) == [[0, 0, 0, 1, 2, 3, 3, 4, 5]] == [python_fold(FOLD)]
+    assert groups([[494, 20, 3000, 1622, 1500, 30], [100, 50], [100, 250, 10], []]) == [[0, 1, 1, 2, 3, 3], [0, 0], [0, 0, 0], []]
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(0, 700), st.integers(0, 900), st.booleans()), max_size=12), min_size=1, max_size=20))
-def test_folds_equal_python(spark, docs):
-    df = spark.createDataFrame([(i, [dict(tk=a, ch=b, hd=c) for a, b, c in d]) for i, d in enumerate(docs)], "i int, b array<struct<tk:int,ch:int,hd:boolean>>")
-    got = df.orderBy("i").select(chunking.chunk_numbers(F.col("b")), chunking.merge_numbers(F.transform("b", lambda x: x["ch"]))).collect()
-    assert [r[0] for r in got] == [python_fold(d) for d in docs]
-    assert [r[1] for r in got] == [python_merge([b for _, b, _ in d]) for d in docs]
+def test_folds_equal_python(docs):
+    assert numbers(docs) == [python_fold(d) for d in docs]
+    assert groups([[b for _, b, _ in d] for d in docs]) == [python_merge([b for _, b, _ in d]) for d in docs]
+
+
+def test_folds_over_batches(spark):
+    """Documents longer than an Arrow batch, several in a partition, one without a name, repeated rows."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sizes = {d: [(k * 37 + len(d or "")) % 400 for k in range(60)] for d in ("a", "bb", "ccc", None)}
+        rows = [(d, k, "x" * n, None, None) for d, ns in sizes.items() for k, n in enumerate(ns)]
+        df = spark.createDataFrame(rows, "source_file string, chunk_no int, text string, page_number int, page_end int")
+        got = {}
+        for r in chunking.merge_groups(df).orderBy("chunk_no").collect():
+            got.setdefault(r["source_file"], []).append(r["group_no"])
+        assert got == {d: python_merge(ns) for d, ns in sizes.items()}
+        twice = chunking.merge_groups(df.unionByName(df))
+        assert twice.count() == 2 * len(rows) and chunking.merge_groups(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def blocks(spark):
