@@ -25,25 +25,25 @@ def _trim(text: Column, chars: str) -> Column:
 
 
 def undouble(text: Column) -> Column:
-    """A title stored twice in a row, once: equal halves about the middle, else up to a second designation."""
-    half = F.floor(F.length(text) / 2).cast("int")
-    cuts = F.filter(
-        F.sequence(half - 8, half + 8),
-        lambda c: (c > 0) & (c < F.length(text)) & (strip(F.substring(text, F.lit(1), c)) == strip(F.substring(text, c + 1, F.length(text)))),
-    )
-    first = F.regexp_extract(text, f"(?s)^(.*?{DESIGNATION}.*?){DESIGNATION}", 1)
-    cut = F.get(cuts, F.lit(0))
-    return F.when(cut.isNotNull(), strip(F.substring(text, F.lit(1), cut))).when(F.length(first) > 0, strip(first)).otherwise(text)
+    """A title stored twice in a row, once: its second half says the same as its first, up to white space, or a
+    designation begins it anew."""
+    middle = F.floor(F.length(text) / 2).cast("int")
+    # the halves may differ by the white space between and around them: up to eight characters
+    near = F.filter(F.sequence(middle - 8, middle + 8), lambda c: (c > 0) & (c < F.length(text)))
+    halves = F.transform(near, lambda c: F.struct(strip(F.left(text, c)).alias("a"), strip(F.substring(text, c + 1, F.length(text))).alias("b")))
+    same = F.get(F.filter(halves, lambda h: h["a"] == h["b"]), F.lit(0))["a"]
+    until = strip(F.regexp_extract(text, f"(?s)^(.*?{DESIGNATION}.*?){DESIGNATION}", 1))
+    return F.coalesce(same, F.nullif(until, F.lit("")), text)
 
 
 def tidy(text: Column) -> Column:
     """Without quotes, single spaces, ``designation - subject`` where it starts with a designation."""
     flat = _trim(F.regexp_replace(F.regexp_replace(text, F.lit(QUOTES), F.lit("")), F.lit(WS + "+"), F.lit(" ")), " \\-–")
-    designation = F.regexp_extract(flat, f"^{DESIGNATION}", 0)
-    rest = _trim(F.substring(flat, F.length(designation) + 1, F.length(flat)), " \\-–:")
-    rest = F.regexp_replace(rest, F.lit(f"^{_NAME}{WS}+(?i:Regel|Information|Vorschrift){WS}*"), F.lit(""))
-    joined = _trim(F.concat(designation, F.lit(" - "), rest), " \\-")
-    return F.when(F.length(designation) == 0, flat).when(F.length(rest) == 0, designation).otherwise(joined)
+    named = F.regexp_extract(flat, f"^{DESIGNATION}", 0)
+    subject = _trim(F.substring(flat, F.length(named) + 1, F.length(flat)), " \\-–:")
+    subject = F.regexp_replace(subject, F.lit(f"^{_NAME}{WS}+(?i:Regel|Information|Vorschrift){WS}*"), F.lit(""))
+    both = F.filter(F.array(named, subject), lambda x: x != "")
+    return F.when(named == "", flat).when(named.isNotNull(), _trim(F.array_join(both, " - "), " \\-"))
 
 
 def from_metadata(raw: Column) -> Column:

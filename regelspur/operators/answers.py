@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from regelspur.functions import replies, titles
 from regelspur.functions import text as T
@@ -97,8 +99,41 @@ def answer(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, names: Data
     )
 
 
-def render(index: int, row) -> str:
-    """One answer as text: question, answer, sources."""
+#: What a chat model is told; the page is part of the passage's label, so that it can be cited.
+PROMPT = (
+    "Beantworte die Frage nur mit dem Kontext und belege jede Aussage mit [Datei, Seite N]. Steht die Antwort nicht darin, "
+    "beginne mit " + replies.REFUSAL_TOKEN + ".\n\nKontext:\n{context}\n\nFrage: {question}"
+)
+
+
+def chat(complete: Callable[[list[str]], list[str]], prompts: Column, batch: int = 16) -> Column:
+    """The replies of a chat model, a batch of prompts at a time: ``complete`` is any client, made to travel to the
+    tasks. Null prompts have no reply."""
+
+    @F.pandas_udf(T_.StringType())
+    def replied(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
+            there = s.dropna()
+            for at in range(0, len(there), batch):
+                part = there.iloc[at : at + batch]
+                out[part.index] = complete(part.tolist())
+            yield out
+
+    return replied(prompts)
+
+
+def chat_generator(complete: Callable[[list[str]], list[str]], template: str = PROMPT, batch: int = 16) -> Callable[[Column, Column], Column]:
+    """A generator of answers from a chat model."""
+    return lambda question, passages: chat(complete, replies.prompt(template, context=context(passages), question=question), batch)
+
+
+def render(index: int, row, retrieved: list | None = None) -> str:
+    """One answer as text: question, answer, sources; with ``retrieved`` (source_file, page_number) pages, also those not used."""
     lines = [f"{index}. {row['question']}", "", row["answer"], ""]
     lines += [f"  - {s['title']}, Seite {s['page_number']}" for s in row["sources"]] or ["  (keine Quellen)"]
+    used = {(s["source_file"], s["page_number"]) for s in row["sources"]}
+    left = [p for p in dict.fromkeys((r["source_file"], r["page_number"]) for r in retrieved or []) if p not in used]
+    if left:
+        lines += ["  gefunden, nicht verwendet:"] + [f"  - {f}, Seite {'?' if p is None else p}" for f, p in left]
     return "\n".join(lines)

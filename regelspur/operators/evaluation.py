@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import statistics
 import time
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from regelspur.config import RetrievalConfig
 from regelspur.functions import text as T
-from regelspur.operators import lexical, metrics
+from regelspur.operators import answers, lexical, metrics
+from regelspur.session import cut
 
 FORMS = ("colloquial", "precise")
 
@@ -68,11 +70,24 @@ def misses(questions: DataFrame, judged: DataFrame, shown: int = 3) -> DataFrame
     return out.select("qid", "question", label.alias("expected"), F.array_join(names, "; ").alias("retrieved"))
 
 
-def evaluate(retriever, gold: DataFrame, chunks: DataFrame, config: RetrievalConfig) -> dict[str, DataFrame | float]:
-    """One batch of all questions. ``seconds_per_question`` is the batch's time divided, not a latency."""
+def latency(retriever, questions: DataFrame, k: int, asked: int = 20) -> float:
+    """The median time of a question asked by itself, in seconds, over ``asked`` of them (by the hash of their id); 0 of none."""
+    few = questions.where("question is not null").orderBy(F.xxhash64("qid"), "qid").limit(asked).select("qid", "question").collect()
+    spark, times = questions.sparkSession, []
+    for r in few:
+        one = spark.createDataFrame([(r["qid"], r["question"])], "qid string, question string")
+        began = time.perf_counter()
+        retriever.retrieve(one, k).collect()
+        times.append(time.perf_counter() - began)
+    return statistics.median(times) if times else 0.0
+
+
+def evaluate(retriever, gold: DataFrame, chunks: DataFrame, config: RetrievalConfig, timed: int = 0) -> dict[str, DataFrame | float]:
+    """All questions in one batch; ``seconds_per_question`` is the batch's time divided, ``median_latency`` that
+    of ``timed`` questions asked one by one."""
     questions = unpivot(gold).where("question is not null")
     began = time.perf_counter()
-    ranked = retriever.retrieve(questions.select("qid", "question"), config.candidate_k).persist()
+    ranked = cut(retriever.retrieve(questions.select("qid", "question"), config.candidate_k), "ranked")
     count = ranked.select("qid").distinct().count()
     seconds = time.perf_counter() - began
     judged = metrics.hits(lexical.with_passages(ranked, chunks), questions)
@@ -83,9 +98,19 @@ def evaluate(retriever, gold: DataFrame, chunks: DataFrame, config: RetrievalCon
         "per_document": per_document_recall(log, gold, config.top_k),
         "misses": misses(questions, judged),
         "seconds_per_question": seconds / max(1, count),
+        "median_latency": latency(retriever, questions, config.top_k, timed),
     }
 
 
+def abstention_run(retriever, unanswerable: DataFrame, chunks: DataFrame, names: DataFrame, top_k: int = 5, generator=answers.extractive) -> DataFrame:
+    """(id, category, question, answer, abstained): what is answered to the questions (id, question, category) that no
+    passage answers. Null questions find nothing and abstain; repeated ids count once."""
+    rows = unanswerable.groupBy("id").agg(F.min(F.struct("question", "category")).alias("r")).select("id", "r.question", "r.category")
+    asked = rows.select(F.col("id").alias("qid"), "question")
+    done = answers.answer(asked, retriever.retrieve(asked, top_k), chunks, names, top_k, generator)
+    return done.select(F.col("qid").alias("id"), "question", "answer", "abstained").join(rows.select("id", "category"), "id")
+
+
 def abstention(answers: DataFrame) -> DataFrame:
     """(category, questions, abstention_rate, total): by category and, as total, over all questions."""
     rows = answers.select(F.coalesce("category", F.lit("uncategorised")).alias("category"), F.col("abstained").cast("double").alias("a"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regelspur.functions import replies
 from regelspur.functions import text as T
+from regelspur.operators import answers
 from regelspur.session import cut
 
 LEAST_CHARS, LEAST_LETTERS = 300, 0.55
@@ -89,6 +90,11 @@ def template_reply(text: Column, source: Column) -> Column:
     )
 
 
+def chat_generator(complete: Callable[[list[str]], list[str]], template: str = PROMPT, batch: int = 16) -> Callable[[Column, Column], Column]:
+    """A generator of entries from a chat model, a batch of prompts at a time."""
+    return lambda text, source: answers.chat(complete, replies.prompt(template, source_file=source, text=text), batch)
+
+
 def generate_entries(chunks: DataFrame, generator: Callable[[Column, Column], Column] = template_reply) -> DataFrame:
     """(chunk columns, questions, snippet, problem): a reply a passage, parsed and validated; unreadable replies are rejected."""
     parsed = replies.json_object(generator(F.col("text"), F.col("source_file")))

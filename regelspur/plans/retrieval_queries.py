@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regelspur.config import RetrievalConfig
 from regelspur.functions import replies
 from regelspur.functions import text as T
 from regelspur.operators import answers, chunking, compare, dense, evaluation, fusion, goldset, lexical, metrics, retrievers
 from regelspur.plans import sql as S
 from regelspur.plans.text_queries import table
-from regelspur.session import fits
+from regelspur.session import fits, shared_dir
+from regelspur.sources import elements, tables
 from regelspur.sources.store import upserted
 
 #: Anchor terms up to which they are broadcast to the passages; beyond it the planner chooses.
@@ -217,7 +221,55 @@ def answer_offline(spark, sf):
     return done.select("qid", "answer", "abstained", F.size("sources").alias("sources"))
 
 
-NAMES = "postings doc_stats term_stats corpus_stats bm25_topk overlap_topk rrf_fusion hybrid_topk dense_hybrid_topk rerank_topk dense_topk hashing_embed upsert_vectors usable_chunks stratified_sample gold_exclude gold_validate gold_generate question_forms relevance_hits first_hit_rank misses recall_mrr_ndcg per_document_recall per_document_pivot mcnemar abstention_rollup parse_citations refusal_split build_sources build_context answer_offline".split()
+def _round_trip(df, write, read):
+    """What is read again of what was written to the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/regelspur/trip-{uuid.uuid4().hex}"
+    write(df, path)
+    return read(df.sparkSession, path)
+
+
+def chunks_round_trip(spark, sf):
+    kept = _round_trip(table(spark, sf, "chunks"), lambda d, p: tables.write_chunks(d, p + ".jsonl"), lambda s, p: tables.read_chunks(s, p + ".jsonl"))
+    return kept.select("chunk_id", "source_file", "page_number", "type", F.md5("text").alias("text_md5"))
+
+
+def goldset_scan(spark, sf):
+    return tables.read_goldset(spark, f"{sf}/goldset.parquet").select("id", "chunk_id", "page_number", "question_precise")
+
+
+def unanswerable_scan(spark, sf):
+    return tables.read_unanswerable(spark, f"{sf}/unanswerable.parquet").select("id", "question", "category")
+
+
+def results_round_trip(spark, sf):
+    return _round_trip(table(spark, sf, "per_question"), tables.write_results, lambda s, p: tables.read_results(s, p, "dicht")).select("config", "variant", "id", "rank")
+
+
+def titles_map(spark, sf):
+    paths = table(spark, sf, "titles").select(F.concat(F.lit("/a/"), "source_file").alias("path"), "title")
+    other = paths.select(F.concat(F.lit("/b"), "path").alias("path"), F.concat(F.lit("neu "), "title").alias("title"))
+    return tables.build_titles(paths.unionByName(other))
+
+
+def no_overlap(spark, sf):
+    """Passages as blocks with rectangles: what a table of its page overlaps is left out."""
+    at = F.col("position") % 7
+    c = table(spark, sf, "chunks").select("position", "source_file", "page_number", "type", F.lit(0.0).alias("x0"), at.cast("double").alias("y0"), F.lit(1.0).alias("x1"), (at + 2).cast("double").alias("y1"))
+    return elements.without_overlap(c).select("position", "type")
+
+
+def table_passages(spark, sf):
+    """Tables become passages of their own, beside those folded of text."""
+    c = table(spark, sf, "chunks").select("source_file", F.col("position").alias("elem_idx"), "type", "text", "page_number")
+    return chunking.build_chunks(c).where("type = 'Table'").select("source_file", "seq", "page_number", "page_end", "chunk_id")
+
+
+def question_log(spark, sf):
+    questions, judged = _judged(spark, sf)
+    return evaluation.per_question(questions, judged, RetrievalConfig("bm25"))
+
+
+NAMES = "chunks_round_trip goldset_scan unanswerable_scan results_round_trip titles_map no_overlap table_passages question_log postings doc_stats term_stats corpus_stats bm25_topk overlap_topk rrf_fusion hybrid_topk dense_hybrid_topk rerank_topk dense_topk hashing_embed upsert_vectors usable_chunks stratified_sample gold_exclude gold_validate gold_generate question_forms relevance_hits first_hit_rank misses recall_mrr_ndcg per_document_recall per_document_pivot mcnemar abstention_rollup parse_citations refusal_split build_sources build_context answer_offline".split()
 
 _USABLE = f"type IN ('NarrativeText', 'Table') AND length(text) >= 300 AND NOT regexp_matches(text, {S.lit(T.LEADERS)}) AND {S.letters('text')}::DOUBLE / length(text) > 0.55"
 _N, _NS = S.normalise("coalesce(text, '')"), S.normalise("answer_snippet")
@@ -269,6 +321,15 @@ _BEST = f"""{S.BM25}, five AS (SELECT qid, rank, text, source_file, page_number
 
 ORACLE = {
     "dense_hybrid_topk": f"WITH {_HYBRID} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM fused_near QUALIFY rank <= 5",
+    "chunks_round_trip": "SELECT chunk_id, source_file, page_number, type, md5(text) AS text_md5 FROM chunks WHERE type IS DISTINCT FROM 'Image'",
+    "goldset_scan": "SELECT id, chunk_id, page_number, question_precise FROM goldset",
+    "unanswerable_scan": "SELECT id, question, category FROM unanswerable",
+    "results_round_trip": "SELECT config, variant, id, rank FROM per_question WHERE config = 'dicht'",
+    "titles_map": "SELECT source_file, 'neu ' || title AS title FROM titles",
+    "no_overlap": """WITH r AS (SELECT *, position % 7 AS y FROM chunks) SELECT position, type FROM r a WHERE NOT EXISTS
+      (SELECT 1 FROM r t WHERE t.type = 'Table' AND a.type <> 'Table' AND t.source_file = a.source_file AND t.page_number = a.page_number AND a.y < t.y + 2 AND a.y + 2 > t.y)""",
+    "table_passages": f"""SELECT source_file, position AS seq, page_number, page_number AS page_end, {S.chunk_id('source_file', 'page_number', 'type', 'text')} AS chunk_id FROM chunks WHERE type = 'Table' AND length(text) > 0""",
+    "question_log": f"""WITH {_JUDGED} SELECT 'bm25' AS config, f.variant, f.id, coalesce(r.rank <= 5, false) AS hit_at_5, coalesce(r.rank <= 20, false) AS hit_at_20, r.rank FROM asked_forms f JOIN firsts r USING (qid)""",
     "hashing_embed": f"WITH {S.FIRST}, {_embedded('pv', 'passages', 'chunk_id', 'text')} SELECT chunk_id, component, value FROM pv WHERE value <> 0",
     "gold_generate": f"""WITH {_GENERATED} SELECT 'gold-' || lpad((n + row_number() OVER (ORDER BY source_file, coalesce(page_number, 0), chunk_id))::VARCHAR, greatest(3, length((n + row_number() OVER (ORDER BY source_file, coalesce(page_number, 0), chunk_id))::VARCHAR))::INTEGER, '0') AS id,
       chunk_id, source_file, question_colloquial, answer_snippet FROM kept, last""",
