@@ -194,3 +194,56 @@ def test_broken_pairs_edges(spark):
     chunks = spark.createDataFrame([(1, "c1", "Der Wert gilt hier."), (2, "c1", None)], "position int, chunk_id string, text string")
     assert sorted(map(tuple, P.broken_pairs(gold, chunks).collect())) == [("a", "empty"), ("b", "empty")]
     assert P.broken_pairs(gold.limit(0), chunks.limit(0)).count() == 0
+
+
+PAIRS = "id string, chunk_id string, question_colloquial string, question_precise string, answer_snippet string"
+
+
+def german(rng):
+    thing, who, when = (rng.choice(w.split()) for w in ("Anlage Leitung Pumpe Schaltung Station Kabeltrommel", "Werkstatt Aufsicht Leitstelle Schicht", "jährlich täglich monatlich wöchentlich"))
+    return f"Was gilt für die {thing}?", f"Wer prüft die {thing} und wann?", f"Die {thing} {rng.randint(2, 900)} wird {when} von der {who} geprüft und gesichert."
+
+
+def english(rng):
+    thing, who, when = (rng.choice(w.split()) for w in ("pump gauge ladder panel engine cupboard", "foreman workshop keeper clerk", "yearly daily monthly weekly"))
+    return f"What is the rule for the {thing}?", f"Who must check the {thing} and when?", f"The {thing} {rng.randint(2, 900)} must be checked {when} by the {who} and then locked again."
+
+
+def table(spark, made):
+    """(gold, chunks) of sound entries: (id, both questions, answer)."""
+    gold = spark.createDataFrame([(k, f"c{k}", c, p, a) for k, (c, p, a) in made], PAIRS)
+    return gold, spark.createDataFrame([(n, f"c{k}", f"{a}\n\nEnde.") for n, (k, (_, _, a)) in enumerate(made)], "position int, chunk_id string, text string")
+
+
+def test_entries_beyond_one_block_train_too(spark):
+    """Only the entries behind the first 2,000 by the hash of their id are English: their language is learned all the same."""
+    rng = random.Random(5)
+    ids = [r["id"] for r in spark.range(2400).select(F.concat(F.lit("k"), "id").alias("id")).orderBy(F.xxhash64("id"), "id").collect()]
+    gold, chunks = table(spark, [(k, german(rng) if n < 2000 else english(rng)) for n, k in enumerate(ids)])
+    odd = {f"e{n}": english(rng) for n in range(40)}
+    gold = gold.unionByName(spark.createDataFrame([(k, None, *x) for k, x in odd.items()], PAIRS))
+    swapped = {f"s{n}": (*english(rng)[:2], german(rng)[2]) for n in range(40)}
+    gold = gold.unionByName(spark.createDataFrame([(k, None, *x) for k, x in swapped.items()], PAIRS))
+    assert set(map(tuple, P.broken_pairs(gold, chunks).collect())) == {(k, "other_language") for k in swapped}
+
+
+def test_one_block_is_what_the_driver_trains(spark):
+    rng = random.Random(6)
+    made = [(f"k{n}", (german, english)[n % 3 == 0](rng)) for n in range(150)]
+    gold, chunks = table(spark, made)
+    joined = gold.join(chunks.select("chunk_id", "text"), "chunk_id")
+    scripts, boundaries = P.fit_scripts(joined, "text"), P.fit_boundaries(joined, "text")
+    fields = ["id", "question_colloquial", "question_precise", "answer_snippet", "text"]
+    want = P.train(P.Judge(scripts, boundaries), [tuple(r) for r in joined.select(fields).orderBy(F.xxhash64("id"), "id").collect()])
+    got = P._learned(P._read(joined, scripts, boundaries))
+    assert got.grams == want.grams and got.grams["en"] and np.allclose(got.weights, want.weights) and (got.thresholds == want.thresholds).all()
+
+
+def test_blocks_hold_every_sound_entry(spark, monkeypatch):
+    """Each block trains with the language that all entries teach, and the mean of the blocks judges."""
+    rng = random.Random(7)
+    monkeypatch.setattr(P, "BLOCK", 60)
+    gold, chunks = table(spark, [(f"k{n}", (german, english)[n % 4 == 0](rng)) for n in range(400)])
+    bad = [("x1", "ck1", *german(rng)[:2], english(rng)[2]), ("x2", None, *english(rng)[:2], "n/a"), ("x3", None, *german(rng)[:2], "Darauf kann ich nicht antworten.")]
+    found = set(map(tuple, P.broken_pairs(gold.unionByName(spark.createDataFrame(bad, PAIRS)), chunks).collect()))
+    assert found == {("x1", "other_language"), ("x2", "empty"), ("x3", "refusal")}
