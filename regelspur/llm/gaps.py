@@ -26,7 +26,7 @@ _INVERSE = pow(_ODD, -1, 1 << 64)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code of the first plane its class (0 space, 1 in words, 2 other, 3 a word of its own, 4 mark, 5 digit) and lower case."""
+    """For each code of the first plane its class (0 space, 1 in words, 2 other, 3 a word of its own, 4 mark, 5 digit) and lower case, 0 outside words."""
     kind, lower = np.full(1 << 16, 2, np.uint8), np.arange(1 << 16, dtype=np.uint64)
     for c in range(1 << 16):
         x = chr(c)
@@ -43,10 +43,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         kind[a:b][kind[a:b] == 1] = 3
     for x in ".!?…;。！？｡．؟۔।॥;។៕။།։":
         kind[ord(x)] = 4
+    lower[(kind != 1) & (kind != 3) & (kind != 5)] = 0
     return kind, lower
 
 
-_KIND, _LOWER = _tables()
+_KIND, _VALUE = _tables()
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -67,36 +68,52 @@ class Words:
     def __init__(self, texts: list[str]):
         codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64)
+        n = len(codes)
         plane = codes < 1 << 16
-        small = np.where(plane, codes, 0)
-        kind = np.where(plane, _KIND[small], np.where((codes >= 0x20000) & (codes < 0x40000), 3, 1)).astype(np.uint8)
+        if plane.all():
+            kind, value = _KIND[codes], _VALUE[codes]
+        else:
+            small = np.where(plane, codes, 0)
+            kind = np.where(plane, _KIND[small], np.where((codes >= 0x20000) & (codes < 0x40000), 3, 1)).astype(np.uint8)
+            value = np.where(plane, _VALUE[small], codes)
         own, digit = kind == 3, kind == 5
         inside = (kind == 1) | digit
         # a dot, comma or colon between two digits is part of a number
-        if len(codes) > 2:
-            joins = ((codes == 46) | (codes == 44) | (codes == 58))[1:-1] & digit[:-2] & digit[2:]
-            inside[1:-1] |= joins
-            kind[1:-1][joins] = 5
-        before = np.concatenate([[False], inside[:-1]])
-        starts = np.flatnonzero((inside & ~before) | own)
-        after = np.concatenate([inside[1:], [False]])
-        ends = np.flatnonzero((inside & ~after) | own) + 1
-        self.starts, self.ends, self.own = starts, ends, own[starts] if len(starts) else np.zeros(0, bool)
-        self.spaces = np.concatenate([[0], np.cumsum(kind == 0)])
-        self.marks = np.concatenate([[0], np.cumsum(kind == 4)])
+        digits = np.flatnonzero(digit)
+        joins = digits[:-1][np.diff(digits) == 2] + 1
+        joins = joins[np.isin(codes[joins], (44, 46, 58))]
+        inside[joins] = True
+        kind[joins] = 5
+        # white space and marks before each character
         self.space = kind == 0
+        self.spaces, self.marks = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        np.cumsum(self.space, out=self.spaces[1:])
+        np.cumsum(kind == 4, out=self.marks[1:])
+        self.whites = np.flatnonzero(self.space)
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1 if n else np.zeros(0, np.int64)
+        if n and inside[0]:
+            edge = np.append(0, edge)
+        if n and inside[-1]:
+            edge = np.append(edge, n)
+        starts, ends = edge[::2], edge[1::2]
+        if own.any():
+            alone = np.flatnonzero(own)
+            order = np.argsort(np.concatenate([starts, alone]), kind="stable")
+            starts, ends = np.concatenate([starts, alone])[order], np.concatenate([ends, alone + 1])[order]
+        self.starts, self.ends, self.own = starts, ends, own[starts]
         if not len(starts):
             self.hashed = self.left = np.zeros(0, np.uint64)
             return
-        up, down = _power(len(codes))
-        value = np.where(inside | own, np.where(plane, _LOWER[small], codes), 0).astype(np.uint64) * up[: len(codes)]
-        hashed = mix(np.add.reduceat(value, starts) * down[starts])
-        numbers = np.add.reduceat(digit.astype(np.int32), starts) > 0
-        self.hashed = np.where(numbers, NUMBER, hashed)
+        up, down = _power(n)
+        self.hashed = mix(np.add.reduceat(value * up[:n], starts) * down[starts])
+        self.hashed[np.searchsorted(starts, digits, "right") - 1] = NUMBER
         # what stands before the gap: the word, or the last other character behind it
-        filled = np.where(kind == 0, 0, np.arange(len(codes)))
-        at = np.maximum.accumulate(filled)[np.append(starts[1:] - 1, ends[-1] - 1)]
-        self.left = np.where(at >= ends, mix(codes[at].astype(np.uint64) * MIX), self.hashed)
+        self.left = self.hashed.copy()
+        last = starts[1:] - 1
+        wide = np.flatnonzero((last >= ends[:-1]) & (self.spaces[starts[1:]] - self.spaces[ends[:-1]] < starts[1:] - ends[:-1]))
+        others = np.flatnonzero(~self.space)
+        at = others[last[wide] - self.spaces[last[wide] + 1]]
+        self.left[wide] = mix(codes[at].astype(np.uint64) * MIX)
 
     def gaps(self, paragraphs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the gap behind each word but the last: whether it lies inside a paragraph (given by their sorted
@@ -113,15 +130,11 @@ class Words:
 
     def place(self, gap: np.ndarray) -> np.ndarray:
         """Where a unit would start that begins at each gap: behind the last white space, else at the word."""
-        s = self.starts[gap + 1]
-        out = s.copy()
-        least = self.ends[gap]
-        todo = np.flatnonzero(out > least)
-        while len(todo):
-            todo = todo[~self.space[out[todo] - 1]]
-            out[todo] -= 1
-            todo = todo[out[todo] > least[todo]]
-        return np.where(out > least, out, s)
+        s, least = self.starts[gap + 1], self.ends[gap]
+        before = self.spaces[s]
+        # where there is no white space before, what is looked up does not count
+        last = self.whites[before - 1] if len(self.whites) else np.full(len(s), -1)
+        return np.where((before > 0) & (last >= least), last + 1, s)
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,13 +217,19 @@ class WordModel:
         w = _cell(a, WORDS)
         return (self.t["ends"][w] + 2.0 * self.end_rate) / (self.t["words"][w] + 2.0)
 
-    def follow(self, before: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """P(word | the two before it, the first of them may be the start of the unit)."""
-        held = self.t["words"][_cell(a, WORDS)]
+    def follows(self, before: list[np.ndarray | None], a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        """P(word | the two before it), for each of several first ones; ``START`` or None: the second starts the unit."""
+        cell, both = _cell(a, WORDS), pair(a, b)
+        held, starts = self.t["words"][cell], self.t["starts"][cell]
         spare = 2.0 + SPARE * held
-        two = (self.t["pairs"][_cell(pair(a, b), PAIRS)] + spare * self._seen(b)) / (held + spare)
-        first = before == START
-        context = np.where(first, self.t["starts"][_cell(a, WORDS)], self.t["pairs"][_cell(pair(before, a), PAIRS)])
-        three = self.t["triples"][_cell(pair(pair(before, a), b), TRIPLES)]
-        spare = 2.0 + SPARE * context
-        return (three + spare * two) / (np.maximum(context, three) + spare)
+        two = (self.t["pairs"][_cell(both, PAIRS)] + spare * self._seen(b)) / (held + spare)
+        found = []
+        for x in before:
+            if x is None:
+                context, x = starts, np.full(1, START)
+            else:
+                context = np.where(x == START, starts, self.t["pairs"][_cell(pair(x, a), PAIRS)])
+            three = self.t["triples"][_cell(pair(pair(x, a), b), TRIPLES)]
+            spare = 2.0 + SPARE * context
+            found.append((three + spare * two) / (np.maximum(context, three) + spare))
+        return found

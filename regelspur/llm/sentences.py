@@ -34,10 +34,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from regelspur.session import cut
 from regelspur.llm.gaps import START, TABLES, Counts, WordModel, Words
@@ -57,14 +58,19 @@ TRUST = 0.98
 
 _blank = re.compile(r"\n[^\S\n]*\n\s*")
 _closers = "\"'“”»«›‹’‘)\\]」』）】"
-#: A place where an event may stand: marks with what closes after them, then white space (none in CJK).
-_place = re.compile(rf"(?:[.!?…;؟۔।॥;]+[  ]?[!?]*[{_closers}]*(?=\s|$)|[。！？｡．…។៕။།።։]+[{_closers}]*)")
+_spaced_marks, _any_marks = ".!?…;؟۔।॥;", "。！？｡．…។៕။།።։"
+#: A place where an event may stand: marks with what closes after them, then white space (none in CJK). One class of
+#: characters first, for which texts are searched faster than for alternatives.
+_place = re.compile(rf"[{_spaced_marks}{_any_marks}](?:(?<=[{_spaced_marks}])[{_spaced_marks}]*[  ]?[!?]*[{_closers}]*(?=\s|$)|(?<=[{_any_marks}])[{_any_marks}]*[{_closers}]*)")
 #: Scripts that put spaces between phrases or sentences, not words: group and its letters.
 SPACED = {"th": "฀-๿", "lo": "຀-໿", "bo": "ༀ-࿿", "my": "က-႟", "km": "ក-៿"}
 _own_marks = "។៕။།"
 _phrase_end = re.compile(rf"\s+|(?<=[{_own_marks}])(?=[^\s{_own_marks}])")
 _cjk = re.compile(r"[぀-ヿ㐀-鿿]")
-_quote = re.compile(r"„[^“”„]*[“”]|«[^«»]*»|“[^“”„]*”|「[^「」]*」|『[^『』]*』|(?<![^\s(\[])\"(?=\S)[^\"]*\"|‚[^‘’‚]*[‘’]")
+_quote = re.compile(
+    "[„«“「『\"‚](?:(?<=„)[^“”„]*[“”]|(?<=«)[^«»]*»|(?<=“)[^“”„]*”|(?<=「)[^「」]*」|(?<=『)[^『』]*』"
+    "|(?<![^\\s(\\[]\")(?<=\")(?=\\S)[^\"]*\"|(?<=‚)[^‘’‚]*[‘’])"
+)
 _any_quote = re.compile(r"[„«“「『\"‚]")
 _goes_on = re.compile(r"\s*(?:[,;:，、；：،—–-]|と|って|という|\s[—–-])")
 _marker = re.compile(r"[^\S\n]*(?:(?P<b>[•‣▪●◦*·–—-])|(?P<n>\d{1,3})[.)]|\(?(?P<a>[a-zA-Z])[)])[^\S\n]+")
@@ -131,32 +137,22 @@ class _Memo(dict):
 _marks, _words = _Memo(_mark), _Memo(_word)
 
 
-def left_of(text: str, start: int, end: int) -> tuple[str, str]:
-    """The class of the mark at a place, or of the word where it is a dot, and of the word before that."""
-    mark = _marks[text[start:end]]
-    if mark != ".":
-        return mark, ""
+def _near(part: str, at: int) -> tuple[str, str]:
+    """The word that ends at a place, empty where none does, and the word before that (``^``: none)."""
     wide = 32
     while True:
-        near = text[max(0, start - wide) : start]
-        parts = near.rsplit(None, 2)
-        if len(parts) > 2 or wide >= start:
+        near = part[max(0, at - wide) : at]
+        words = near.rsplit(None, 2)
+        if len(words) > 2 or wide >= at:
             break
         wide *= 4
-    if not parts or near[-1].isspace():
-        return ".", ""
-    before = parts[-2] if len(parts) > 1 else "^"
-    return _words[parts[-1]], _words[before]
-
-
-def right_of(text: str, at: int) -> str:
-    """The class of what follows a place."""
-    n = len(text)
-    while at < n and text[at].isspace():
-        at += 1
-    if at >= n:
-        return "$"
-    c = text[at]
+    if not words or near[-1].isspace():
+        return "", ""
+    return words[-1], words[-2] if len(words) > 1 else "^"
+
+
+def right_of(c: str) -> str:
+    """The class of what follows a place, by its first character."""
     if c in "„“«\"‚「『¿¡([":
         return "q"
     if c.isdigit():
@@ -213,46 +209,6 @@ def _entries(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-
-
-def places(text: str, start: int, end: int) -> tuple[str, list[tuple[int, str, str, str]]]:
-    """The group of a paragraph and its places (position after the mark, left class, word before, right class).
-
-    A place with the right class ``$`` ends the paragraph. Places inside a quotation that goes on
-    are left out.
-    """
-    part = text[start:end]
-    group = _group(part)
-    if group in SPACED:
-        # where the script's own marks are used, a space between letters is another thing
-        letter = "m" if any(c in part for c in _own_marks) else "t"
-        left = lambda c: letter if (k := _side(c, group)) == "t" else k
-        right = lambda c: "o" if (k := _side(c, group)) == "。" else k
-        found = [(m.end(), left(part[m.start() - 1]), "", right(part[m.end()])) for m in _phrase_end.finditer(part) if m.end() < len(part)]
-        return group, [*found, (len(part), left(part[-1]), "", "$")]
-    skip: list[tuple[int, int]] = []
-    if _any_quote.search(part):
-        for m in _quote.finditer(part):
-            after = part[m.end() : m.end() + 3]
-            if _goes_on.match(after) or after.lstrip()[:1].islower():
-                skip.append(m.span())
-    found = []
-    head = _marker.match(part)
-    floor = head.end() if head else 0
-    for m in _place.finditer(part):
-        s, e = m.span()
-        if s < floor or skip and any(a < e <= b and not (e == b == len(part)) for a, b in skip):
-            continue
-        if part[s] in ";;":
-            if group != "el":
-                continue
-        elif part[s] == "…" and e < len(part) and not part[e].isspace() and not _cjk.search(part[e]):
-            continue
-        left, before = left_of(part, s, e)
-        found.append((e, left, before, right_of(part, e)))
-    return group, found
-
-
 #: Classes of what follows a place; classes before one that are no words.
 KINDS = ("$", "U", "l", "0", "q", "c", "-", "o", "t", "x")
 _KIND_NO = {k: n for n, k in enumerate(KINDS)}
@@ -277,39 +233,94 @@ def _context(key: tuple[str, str, str]) -> int:
     return _GROUP_NO[group] * CONTEXTS + xxhash.xxh3_64_intdigest(f"{before} {left}") % CONTEXTS
 
 
-_codes, _contexts = _Memo(_code), _Memo(_context)
+def _dotted(key: tuple[str, str, str]) -> tuple[int, int]:
+    """The cells of a word before a dot, and of it with the word before that."""
+    group, word, before = key
+    if not word:
+        return _codes[group, "."], -1
+    left = _words[word]
+    return _codes[group, left], _context((group, _words[before], left))
 
 
-def annotate(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-    """All that the model of marks needs of a text: where a unit starts or might, and of each place the cells
-    of what is on its left (alone, with the word before; -1: none) and the class of what follows.
+_codes, _dots, _rights = _Memo(_code), _Memo(_dotted), _Memo(lambda c: _KIND_NO[right_of(c)])
+
+
+def _spaced_places(part: str, start: int, group: str) -> list[int]:
+    """The places of a paragraph whose script has spaces between phrases."""
+    # where the script's own marks are used, a space between letters is another thing
+    letter = "m" if any(c in part for c in _own_marks) else "t"
+    left = lambda c: _codes[group, letter if (k := _side(c, group)) == "t" else k]
+    found = []
+    for m in _phrase_end.finditer(part):
+        if m.end() < len(part):
+            found += (start + m.end(), left(part[m.start() - 1]), -1, _KIND_NO[_side(part[m.end()], group).replace("。", "o")])
+    found += (-1, left(part[-1]), -1, _KIND_NO["$"])
+    return found
+
+
+def _places(part: str, start: int, group: str, quotes: bool) -> list[int]:
+    """The places of a paragraph, four numbers each as ``annotate`` has them.
+
+    Places inside a quotation that goes on are left out; without ``quotes`` there is none.
+    """
+    skip: list[tuple[int, int]] = []
+    if quotes and _any_quote.search(part):
+        for m in _quote.finditer(part):
+            after = part[m.end() : m.end() + 3]
+            if _goes_on.match(after) or after.lstrip()[:1].islower():
+                skip.append(m.span())
+    found: list[int] = []
+    head = _marker.match(part)
+    floor = head.end() if head else 0
+    n = len(part)
+    for m in _place.finditer(part):
+        s, e = m.span()
+        if s < floor or skip and any(a < e <= b and not (e == b == n) for a, b in skip):
+            continue
+        c = part[s]
+        if c in ";;":
+            if group != "el":
+                continue
+        elif c == "…" and e < n and not part[e].isspace() and not _cjk.search(part[e]):
+            continue
+        p = e
+        while p < n and part[p].isspace():
+            p += 1
+        at, kind = (start + p, _rights[part[p]]) if p < n else (-1, 0)
+        mark = _marks[part[s:e]]
+        if mark != ".":
+            found += (at, _codes[group, mark], -1, kind)
+            continue
+        words = part[s - 32 if s > 32 else 0 : s].rsplit(None, 2)
+        if len(words) == 3 and not part[s - 1].isspace():
+            left, context = _dots[group, words[2], words[1]]
+        else:
+            left, context = _dots[group, *_near(part, s)]
+        found += (at, left, context, kind)
+    return found
+
+
+def annotate(text: str) -> list[int]:
+    """All that the model of marks needs of a text, four numbers for each place where a unit starts or might: the
+    position, the cells of what is on its left (alone, with the word before; -1: none) and the class of what follows.
 
     The left class ``^`` marks the start of a paragraph, which is certain, the right class ``$`` its end, at
     position -1; a paragraph without places has the cell -1.
     """
-    at: list[int] = []
-    lefts: list[int] = []
-    contexts: list[int] = []
-    kinds: list[int] = []
+    out: list[int] = []
+    latin = text.isascii() or not _other_script.search(text)
+    quotes = _any_quote.search(text) is not None
     for start, end in paragraphs(text):
-        group, found = places(text, start, end)
-        at.append(start)
-        contexts.append(-1)
+        part = text[start:end]
+        group = "la" if latin else _group(part)
+        spaced = group in SPACED
+        found = _spaced_places(part, start, group) if spaced else _places(part, start, group, quotes)
         if not found:
-            lefts.append(-1)
-            kinds.append(0)
+            out += (start, -1, -1, 0)
             continue
-        lefts.append(_codes[group, "^"])
-        kinds.append(_KIND_NO[_side(text[start], group).replace("。", "o") if group in SPACED else right_of(text, start)])
-        for p, left, before, right in found:
-            p += start
-            while p < end and text[p].isspace():
-                p += 1
-            at.append(p if right != "$" else -1)
-            lefts.append(_codes[group, left])
-            contexts.append(_contexts[group, before, left] if before else -1)
-            kinds.append(_KIND_NO[right])
-    return at, lefts, contexts, kinds
+        out += (start, _codes[group, "^"], -1, _KIND_NO[_side(part[0], group).replace("。", "o")] if spaced else _rights[part[0]])
+        out += found
+    return out
 
 
 class Notes:
@@ -320,15 +331,25 @@ class Notes:
         self.starts = (lefts < 0) | (lefts // 2 % LEFTS == _FIXED["^"])
 
     @staticmethod
-    def of(columns: list) -> "Notes":
-        """From four columns of lists."""
-        flat = [np.concatenate([np.asarray(x, np.int64) for x in c]) if len(c) else np.zeros(0, np.int64) for c in columns]
-        return Notes(np.fromiter(map(len, columns[0]), np.int64, len(columns[0])), *flat)
+    def of(written: list[bytes]) -> "Notes":
+        """From the annotations of each text as ``written`` has them."""
+        sizes = np.fromiter(map(len, written), np.int64, len(written)) // 16
+        return Notes(sizes, *np.frombuffer(b"".join(written), "<i4").reshape(-1, 4).T.astype(np.int64, order="C"))
 
     @staticmethod
     def read(texts: list[str]) -> "Notes":
-        found = [annotate(t) for t in texts]
-        return Notes.of([[f[k] for f in found] for k in range(4)])
+        flat: list[int] = []
+        ends = []
+        for t in texts:
+            flat += annotate(t)
+            ends.append(len(flat) // 4)
+        return Notes(np.diff(np.array([0, *ends])), *np.array(flat, np.int64).reshape(-1, 4).T.copy())
+
+    def written(self) -> list[bytes]:
+        """The annotations of each text in 32-bit numbers, four for each place."""
+        all_ = np.stack([self.at, self.lefts, self.contexts, self.kinds], axis=1).astype("<i4").tobytes()
+        ends = (np.cumsum(self.sizes) * 16).tolist()
+        return [all_[a:b] for a, b in zip([0, *ends], ends)]
 
     def where(self, words: Words) -> np.ndarray:
         """The places in the texts laid end to end; -1 stays."""
@@ -528,17 +549,16 @@ class Boundaries:
         a, b = left[gap], h[gap + 1]
         some = model.end(a) * model.start(b) * style
         # even if the pair was only ever seen with what is around it here
-        least = np.minimum(model.follow(START + np.zeros(len(gap), np.uint64), a, b), model.follow(np.where(gap > 0, left[gap - 1], START), a, b))
+        least = np.minimum(*model.follows([None, np.where(gap > 0, left[gap - 1], START)], a, b))
         able = (some > NEVER * least) & ~np.isin(gap, taken)
         gap, a, b, some = gap[able], a[able], b[able], some[able]
         if not len(gap):
             return gap, gap, np.zeros((0, 2, 2))
         inside = np.concatenate([[False], within])
-        start = np.full(len(gap), START)
         # behind a mark the event is that of its place, which this one says nothing of
         before = np.where(inside[gap] & np.concatenate([[False], free])[gap], left[gap - 1], START)
         weights = np.empty((len(gap), 2, 2))
-        weights[:, 0, 0], weights[:, 1, 0] = model.follow(before, a, b), model.follow(start, a, b)
+        weights[:, 0, 0], weights[:, 1, 0] = model.follows([before, None], a, b)
         weights[:, 0, 1] = weights[:, 1, 1] = some
         # the word after the next has another history behind a boundary; where its gap is an event of its own, that one says so
         own = np.zeros(len(h) + 1, bool)
@@ -546,7 +566,8 @@ class Boundaries:
         more = np.concatenate([free, [False]])[gap + 1] & ~own[gap + 1]
         m = np.flatnonzero(more)
         c = h[gap[m] + 2]
-        weights[m, :, 1] *= (model.follow(start[m], left[gap[m] + 1], c) / model.follow(a[m], left[gap[m] + 1], c))[:, None]
+        behind, ahead = model.follows([None, a[m]], left[gap[m] + 1], c)
+        weights[m, :, 1] *= (behind / ahead)[:, None]
         return gap, words.place(gap), weights
 
     def _forward_backward(self, position: np.ndarray, gap: np.ndarray, weights: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
@@ -567,53 +588,119 @@ class Boundaries:
         # chains of two events and more, one after the other
         first = np.flatnonzero(linked & ~np.concatenate([[False], linked[:-1]])) - 1
         last = np.flatnonzero(linked & ~np.concatenate([linked[1:], [False]]))
+        # in plain numbers: most chains have two events, and arrays of two cost more than what is done with them
         for a, b in zip(first.tolist(), last.tolist()):
-            ahead = [weights[a, 0]]
-            for m in weights[a + 1 : b + 1]:
-                f = ahead[-1] @ m
-                ahead.append(f / (f.sum() or 1.0))
-            back = np.ones(2)
-            for k in range(b, a - 1, -1):
-                both = ahead[k - a] * back
-                keep[k] = both[1] > both[0]
-                back = weights[k] @ back
-                back = back / (back.sum() or 1.0)
+            chain = weights[a : b + 1].tolist()
+            none, some = chain[0][0]
+            ahead = [(none, some)]
+            for (nn, ns), (sn, ss) in chain[1:]:
+                none, some = none * nn + some * sn, none * ns + some * ss
+                total = none + some or 1.0
+                none, some = none / total, some / total
+                ahead.append((none, some))
+            x, y = 1.0, 1.0
+            for k in range(b - a, -1, -1):
+                none, some = ahead[k]
+                keep[a + k] = some * y > none * x
+                (nn, ns), (sn, ss) = chain[k]
+                x, y = nn * x + ns * y, sn * x + ss * y
+                total = x + y or 1.0
+                x, y = x / total, y / total
         return keep
 
 
-#: Annotations of a text (id and the four lists), or the counts of a task (table and cells).
-_NOTES = "at array<int>, lefts array<int>, contexts array<int>, kinds array<int>, text string, part string, cells array<int>, counts array<long>"
+#: The annotations of a text, and the text; or what a task counted: table, slice of it, cells there and their counts.
+_NOTES = "notes binary, text string, part tinyint, slice int, cells binary, counts binary"
+_COUNTS = {"part": pa.int8(), "slice": pa.int32(), "cells": pa.binary(), "counts": pa.binary()}
+#: Tables by their number in ``part``.
+_PARTS = ("lefts", "contexts", *TABLES, "styles")
+#: Texts annotated and decided at a time; cells of a table in a row.
+TEXTS, SLICE = 250, 1 << 17
 
 
 def annotated(df: DataFrame, key: str, text: str, keep: bool = True) -> DataFrame:
-    """(id, at, lefts, contexts, kinds, text): every text annotated; and (part, cells, counts): what the tasks counted.
+    """(id, notes, text): every text annotated; and (part, slice, cells, counts): what the tasks counted.
 
     ``keep=False``: the counts alone.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, counts = MarkCounts(), Counts()
-        for pdf in batches:
-            for k in range(0, len(pdf), 250):
-                part = pdf.iloc[k : k + 250]
-                texts = part["text"].tolist()
-                found = [annotate(t) for t in texts]
-                notes = Notes.of([[f[j] for f in found] for j in range(4)])
-                words = Words(texts)
-                at = notes.where(words)
+        schema = empty
+        for batch in batches:
+            schema = batch.schema
+            written: list[bytes] = []
+            for k in range(0, len(batch), TEXTS):
+                texts = batch.column("text").slice(k, TEXTS).to_pylist()
+                notes, words = Notes.read(texts), Words(texts)
                 marks.add(notes)
-                counts.add(words, at[notes.starts])
+                counts.add(words, notes.where(words)[notes.starts])
                 _count_styles(counts, notes)
                 if keep:
-                    yield pd.DataFrame({"id": part["id"], **{name: [f[j] for f in found] for j, name in enumerate(("at", "lefts", "contexts", "kinds"))}, "text": texts, "part": None, "cells": None, "counts": None})
-        rows = dict(zip(("lefts", "contexts"), marks.rows()))
-        rows |= {name: (np.flatnonzero(t), t[t > 0]) for name, t in counts.tables.items()}
-        rows["styles"] = np.arange(2), np.array([counts.marked, counts.bare])
-        empty = dict.fromkeys(("id", "at", "lefts", "contexts", "kinds", "text"))
-        yield pd.DataFrame([{**empty, "part": name, "cells": cells, "counts": n} for name, (cells, n) in rows.items()])
+                    written += notes.written()
+            if written:
+                yield _batch(schema, len(batch), id=batch.column("id"), notes=written, text=batch.column("text"))
+        tables = dict(zip(("lefts", "contexts"), marks.rows()))
+        tables |= {name: (np.arange(len(t)), t) for name, t in counts.tables.items()}
+        tables["styles"] = np.arange(2), np.array([counts.marked, counts.bare])
+        for part, name in enumerate(_PARTS):
+            found = list(_slices(*tables[name]))
+            if found:
+                numbers, cells, n = zip(*found)
+                yield _batch(schema, len(found), part=[part] * len(found), slice=numbers, cells=cells, counts=n)
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    return rows.mapInPandas(read, f"id {rows.schema['id'].dataType.simpleString()}, {_NOTES}")
+    empty = to_arrow_schema(rows.schema)
+    return rows.mapInArrow(read, f"id {rows.schema['id'].dataType.simpleString()}, {_NOTES}")
+
+
+def _batch(schema: pa.Schema, n: int, **columns: object) -> pa.RecordBatch:
+    """Rows of ``annotated``, from columns or lists; columns that are not given are null."""
+    kinds = {"id": schema.field("id").type, "notes": pa.binary(), "text": schema.field("text").type, **_COUNTS}
+    given = {c: x if isinstance(x, pa.Array) else pa.array(x, kinds[c]) for c, x in columns.items()}
+    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, kind) for c, kind in kinds.items()], list(kinds))
+
+
+def _packed(n: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs; their width goes first."""
+    width = next(w for w in (1, 2, 4, 8) if int(n.max()) < 1 << 8 * w)
+    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _slices(cells: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """Counted cells in rows: number of the slice, steps from each cell to the next, counts."""
+    cells, n = cells[n > 0], n[n > 0]
+    order = np.argsort(cells)
+    cells, n = cells[order], n[order]
+    ends = [*(np.flatnonzero(np.diff(cells // SLICE)) + 1).tolist(), len(cells)]
+    for a, b in zip([0, *ends], ends):
+        if a < b:
+            yield int(cells[a]) // SLICE, _packed(np.diff(cells[a:b] % SLICE, prepend=0)), _packed(n[a:b])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the rows of each slice; those of one follow each other."""
+    at, held = None, np.zeros(SLICE, np.int64)
+
+    def row() -> pa.RecordBatch:
+        cells = np.flatnonzero(held)
+        found = at[0], at[1], _packed(np.diff(cells, prepend=0)), _packed(held[cells])
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(found, _COUNTS.values())], list(_COUNTS))
+
+    for batch in batches:
+        for part, number, cells, n in zip(*(batch.column(c).to_pylist() for c in _COUNTS)):
+            if at != (part, number):
+                if at:
+                    yield row()
+                at = part, number
+                held[:] = 0
+            held[np.cumsum(_unpacked(cells))] += _unpacked(n)
+    if at:
+        yield row()
 
 
 def _count_styles(counts: Counts, notes: Notes) -> None:
@@ -629,21 +716,18 @@ def _count_styles(counts: Counts, notes: Notes) -> None:
 
 def fit_annotated(notes: DataFrame) -> Boundaries:
     """Train the models on what the tasks counted of all texts; what is collected is bounded by the cells of the tables."""
-    counted = notes.where("part is not null").select("part", F.explode(F.arrays_zip("cells", "counts")).alias("c"))
-    order = ["lefts", "contexts", *TABLES, "styles"]
-    number = F.array_position(F.array(*map(F.lit, order)), F.col("part")).cast("tinyint")
-    summed = counted.groupBy(number.alias("part"), F.col("c.cells").alias("cell")).agg(F.sum("c.counts").alias("n"))
-    pdf = summed.toArrow().to_pandas()
-    pdf["part"] = pdf["part"].map(lambda k: order[k - 1])
-    found = {name: (part["cell"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for name, part in pdf.groupby("part")}
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tables = {}
-    for name, size in TABLES.items():
-        tables[name] = np.zeros(size)
-        cells, n = found.get(name, nothing)
-        tables[name][cells] = n
-    styles = dict(zip(*(x.tolist() for x in found.get("styles", nothing))))
-    return Boundaries(MarkModel(found.get("lefts", nothing), found.get("contexts", nothing)), WordModel(tables, styles.get(0, 0), styles.get(1, 0)))
+    counted = notes.where("part is not null").select(*_COUNTS)
+    summed = counted.repartition("part", "slice").sortWithinPartitions("part", "slice").mapInArrow(_add_up, counted.schema)
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {name: [] for name in _PARTS}
+    for part, number, cells, n in zip(*(c.to_pylist() for c in summed.toArrow().columns)):
+        found[_PARTS[part]].append((np.cumsum(_unpacked(cells)) + number * SLICE, _unpacked(n)))
+    tables = {name: np.zeros(size) for name, size in TABLES.items()} | {"styles": np.zeros(2)}
+    for name, table in tables.items():
+        for cells, n in found[name]:
+            table[cells] += n
+    marks = [tuple(map(np.concatenate, zip(*found[name]))) if found[name] else (np.zeros(0, np.int64),) * 2 for name in ("lefts", "contexts")]
+    styles = tables.pop("styles").tolist()
+    return Boundaries(MarkModel(*marks), WordModel(tables, *map(int, styles)))
 
 
 def fit_boundaries(df: DataFrame, text: str) -> Boundaries:
@@ -656,25 +740,23 @@ def _decided(df: DataFrame, key: str, text: str, model: Boundaries | None, units
     model = model or fit_annotated(notes)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 250):
-                part = pdf.iloc[at : at + 250]
-                texts = part["text"].tolist()
-                found = sent.value.decide(texts, Notes.of([part[c].tolist() for c in ("at", "lefts", "contexts", "kinds")]))
-                n = [len(f) for f in found]
-                if not any(n):
-                    continue  # frames without rows have no Arrow type for strings
-                out = pd.DataFrame({"id": part["id"].repeat(n).to_numpy(), "start_char": [p for f in found for p in f]})
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), TEXTS):
+                part = batch.slice(k, TEXTS)
+                texts = part.column("text").to_pylist()
+                found = sent.value.decide(texts, Notes.of(part.column("notes").to_pylist()))
+                of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                out = {"id": part.column("id").take(of), "start_char": pa.array([p for f in found for p in f], pa.int32())}
                 if units:
-                    out["unit_no"] = [k for f in found for k in range(len(f))]
-                    out["unit"] = [t[a:b].strip() for t, f in zip(texts, found) for a, b in zip(f, [*f[1:], len(t)])]
-                    out = out[["id", "unit_no", "start_char", "unit"]]
-                yield out
+                    out["unit_no"] = pa.array([k for f in found for k in range(len(f))], pa.int32())
+                    out["unit"] = pa.array([t[a:b].strip() for t, f in zip(texts, found) for a, b in zip(f, [*f[1:], len(t)])], pa.string())
+                names = ["id", "unit_no", "start_char", "unit"] if units else ["id", "start_char"]
+                yield pa.RecordBatch.from_arrays([out[c] for c in names], names)
 
     kind = notes.schema["id"].dataType.simpleString()
-    rows = notes.where("part is null").select("id", "at", "lefts", "contexts", "kinds", "text")
-    return rows.mapInPandas(split, f"id {kind}, " + ("unit_no int, start_char int, unit string" if units else "start_char int")).withColumnRenamed("id", key)
+    rows = notes.where("part is null").select("id", "notes", "text")
+    return rows.mapInArrow(split, f"id {kind}, " + ("unit_no int, start_char int, unit string" if units else "start_char int")).withColumnRenamed("id", key)
 
 
 def sentence_units(df: DataFrame, key: str, text: str, model: Boundaries | None = None) -> DataFrame:
