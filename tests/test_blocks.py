@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regelspur import schemas
-from regelspur.operators import answers, blocks, chunking, lexical
+from regelspur.operators import answers, blocks, chunking, dense, lexical
 
 WORDS = [f"wort{i:02d}" for i in range(40)]
 
@@ -86,3 +86,26 @@ def test_first_of_each_equals_dedupe(spark, monkeypatch):
         monkeypatch.setattr(chunking, "FEW_REPEATED", most)
         got = sorted((r["position"], r["chunk_id"] or "") for r in chunking.first_of_each(df).collect())
         assert got == sorted((r["position"], r["chunk_id"] or "") for r in chunking.dedupe_first(df).collect()) == [(0, "c"), (1, "a"), (3, ""), (4, ""), (5, "b")]
+
+
+@pytest.mark.parametrize("self_match", [True, False])
+def test_nearest_in_steps(spark, monkeypatch, self_match):
+    """Several blocks, steps and batches, ties, a null, a short and an infinite vector; a task sends k rows a query however many its batches."""
+    np = blocks.np
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(dense, "QUERY_STEP", 16)
+    monkeypatch.setattr(dense, "ROW_STEP", 24)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(500, 64)).round(2)
+    v[100:140] = v[60:100]
+    rows = [(f"k{i:03d}", [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame([*rows, ("n", None), ("s", [1.0]), ("i", [float("inf")] * 64)], "id string, v array<double>").repartition(30)
+    q = spark.createDataFrame(rows[60:130], "qid string, w array<double>")
+    found = dense.nearest(df, "id", "v", q, "qid", "w", 4, self_match)
+    want = set()
+    for qid, w in rows[60:130]:
+        s = sorted((-round(float(np.dot(w, r)), 6), key) for key, r in rows if self_match or key != qid)
+        want |= {(qid, n, key, -x) for n, (x, key) in enumerate(s[:4], 1)}
+    assert {tuple(r) for r in found.select("qid", "rank", "id", "score").collect()} == want
+    one = dense._pass(df, np.array([r[0] for r in rows[:20]], dtype=object), v[:20], 4, True, "string")
+    assert one.count() <= 4 * 20 * 2 * spark.sparkContext.defaultParallelism < 4 * 20 * 30
