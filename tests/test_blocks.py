@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regelspur import schemas
 from regelspur.operators import answers, blocks, chunking, dense, lexical
+from regelspur.plans import retrieval_queries
 
 WORDS = [f"wort{i:02d}" for i in range(40)]
 
@@ -109,3 +110,10 @@ def test_nearest_in_steps(spark, monkeypatch, self_match):
     assert {tuple(r) for r in found.select("qid", "rank", "id", "score").collect()} == want
     one = dense._pass(df, np.array([r[0] for r in rows[:20]], dtype=object), v[:20], 4, True, "string")
     assert one.count() <= 4 * 20 * 2 * spark.sparkContext.defaultParallelism < 4 * 20 * 30
+
+
+@pytest.mark.parametrize("name", ["misses"])
+def test_questions_are_judged_once(spark, sf, name):
+    """Neither the passages nor the index are in the plan of what is made of the judged rows, however often they are used."""
+    plan = getattr(retrieval_queries, name)(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "judged" in str(getattr(retrieval_queries, name)(spark, sf).inputFiles())
