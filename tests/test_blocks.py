@@ -117,3 +117,11 @@ def test_questions_are_judged_once(spark, sf, name):
     """Neither the passages nor the index are in the plan of what is made of the judged rows, however often they are used."""
     plan = getattr(retrieval_queries, name)(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "text#" not in plan and "judged" in str(getattr(retrieval_queries, name)(spark, sf).inputFiles())
+
+
+def test_fused_searches_share_packed_blocks(spark, sf, monkeypatch):
+    """Both branches of the fusion search the blocks that were packed once; other passages are not packed again."""
+    made = []
+    monkeypatch.setattr(blocks, "pack", lambda *a, pack=blocks.pack: made.append(1) or pack(*a))
+    found = retrieval_queries.hybrid_topk(spark, sf)
+    assert len(made) == 1 and found.count() > 0
