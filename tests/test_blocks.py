@@ -112,7 +112,7 @@ def test_nearest_in_steps(spark, monkeypatch, self_match):
     assert one.count() <= 4 * 20 * 2 * spark.sparkContext.defaultParallelism < 4 * 20 * 30
 
 
-@pytest.mark.parametrize("name", ["misses"])
+@pytest.mark.parametrize("name", ["misses", "relevance_hits"])
 def test_questions_are_judged_once(spark, sf, name):
     """Neither the passages nor the index are in the plan of what is made of the judged rows, however often they are used."""
     plan = getattr(retrieval_queries, name)(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
